@@ -1,18 +1,60 @@
-"""From raw documents to token files: the stages of the corpus pipeline."""
+"""From raw documents to token files: quality rules, near-duplicates, benchmark passages, mixing, token ids.
+
+Each stage works on everything that the one before it kept, and each result is written as Parquet in the shared folder
+before the next stage reads it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import decontamination, mixing, near_dedup, quality, token_files
+from tessera.llm.common import cut
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or are outliers of their language and source, go."""
+    return quality.keep_good(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    return near_dedup.keep_one(docs, size=5)
+
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which an item of `benchmark` appears go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get their target weights: documents repeat, or stay away, as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files are written and read back: doc_id, start, n_tokens and ids_crc32 of each document in them."""
+    return token_files.document_index(token_files.write_files(docs))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+
+#: Signatures, robust scatter and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to documents; each stage's result is written to the shared folder and read again."""
-    from tessera.llm.common import cut
-
+    """The rows that the last stage gives for documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
