@@ -13,18 +13,21 @@ import numpy as np
 
 #: Lower-cased letters and other characters for which the split below is the tokenizer's; other chunks go to the library whole.
 LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżžœ"
-KNOWN = re.compile(rf"[{LETTERS}0-9!-/:-@\[-`{{-~«»¿¡‘’“”–—…€]*")
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-CACHED = 500_000
+KNOWN = re.compile(rf"[{LETTERS}0-9!-/:-@\[-`{{-~«»¿¡‘’“”–—…€ \t\n\r\x0b\x0c]*")
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9 \t\n\r\x0b\x0c]+")
+CACHED = 1_000_000
+
+
+def simple(text: str, lower: str) -> bool:
+    """Whether the split of lower is the tokenizer's split of text."""
+    return len(lower) == len(text) and bool(KNOWN.fullmatch(lower)) and "<|" not in text and "İ" not in text
 
 
 def pretokens(chunk: bytes) -> list[str]:
     """The strings whose ids, one after another, are the chunk's."""
     text = chunk.decode()
     lower = text.lower()
-    if len(lower) == len(text) and KNOWN.fullmatch(lower) and "<|" not in text and "İ" not in text:
-        return SPLIT.findall(lower)
-    return [text]
+    return SPLIT.findall(lower) if simple(text, lower) else [text]
 
 
 def load(path: str):
@@ -37,30 +40,25 @@ def load(path: str):
 
 
 class Encoder(dict):
-    """chunk -> its ids as little-endian bytes of `width` bytes each."""
+    """pre-token -> its ids as little-endian bytes of `width` bytes each."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, string: str) -> bytes:
-        found = self.pieces.get(string)
-        if found is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            found = self.pieces[string] = np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.kind).tobytes()
-        return found
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def __missing__(self, string: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        found = self[chunk] = b"".join(map(self.piece, pretokens(chunk)))
+        found = self[string] = np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.kind).tobytes()
         return found
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        text = text or ""
+        lower = text.lower()
+        if simple(text, lower):
+            return b"".join(map(self.__getitem__, SPLIT.findall(lower)))
+        return b"".join(self[x] for chunk in text.encode().split() for x in pretokens(chunk))
 
 
 _encoders: dict[str, Encoder] = {}
