@@ -13,67 +13,81 @@ null ids are rows like others; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.pretokens import load, pretokens, tokenizer_path
+from tessera.llm.pretokens import SPLIT, load, pretokens, simple, tokenizer_path
 
 BLOCK_BYTES = 24 << 20
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, ends binary, uses binary, words array<string>"
+#: A pair is one number: the block (partition and place in it), then the word's index in 28 bits.
+AT_BITS = 28
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, lengths binary, steps binary, times binary, words array<string>"
 
 
 class Words(dict):
-    """chunk -> indexes of its pre-tokens in `found`."""
+    """pre-token -> its index, in order of appearance."""
 
-    def __init__(self):
-        self.found: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
 
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        got = self[chunk] = tuple(self.found.setdefault(x, len(self.found)) for x in pretokens(chunk))
-        return got
+    def of(self, text: str) -> np.ndarray:
+        lower = text.lower()
+        words = SPLIT.findall(lower) if simple(text, lower) else [x for chunk in text.encode().split() for x in pretokens(chunk)]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, so that the empty upper planes of small numbers cost nothing."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: documents -> blocks. `uses` has (index, frequency) pairs of 32 bits, `ends` where each document's end."""
+    """mapInArrow: documents -> blocks. `steps` has each document's rising indexes as differences, `times` their frequencies, `lengths` how many there are."""
     from pyspark import TaskContext
 
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("ends", pa.binary()), ("uses", pa.binary()), ("words", pa.list_(pa.string()))])
-    block = TaskContext.get().partitionId() << 24
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("lengths", pa.binary()), ("steps", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string()))])
+    block = TaskContext.get().partitionId() << 16
 
-    def rows() -> Iterator[tuple[int | None, bytes]]:
+    def rows() -> Iterator[tuple[int | None, str, int]]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                yield doc_id, (text.as_py() or "").encode()
+                text = text.as_py() or ""
+                yield doc_id, text, len(text.encode())
 
-    words, names, sizes, uses, ends = Words(), [], [], [], []
+    words, names, sizes, steps, times = Words(), [], [], [], []
 
     def made() -> pa.RecordBatch:
-        both = np.concatenate(uses) if uses else np.zeros((0, 2), "<u4")
-        row = {"block": block, "doc_ids": names, "n_bytes": sizes, "ends": np.cumsum(ends).astype("<i8").tobytes(), "uses": both.tobytes(), "words": list(words.found)}
+        lengths = np.array([len(x) for x in steps])
+        row = {"block": block, "doc_ids": names, "n_bytes": sizes, "lengths": squeezed(lengths), "steps": squeezed(np.concatenate(steps)), "times": squeezed(np.concatenate(times)), "words": list(words)}
         return pa.RecordBatch.from_pylist([row], schema)
 
     held = 0
-    for doc_id, text in rows():
-        if names and held + len(text) > BLOCK_BYTES:
+    for doc_id, text, size in rows():
+        if names and held + size > BLOCK_BYTES:
             yield made()
-            words, names, sizes, uses, ends, held, block = Words(), [], [], [], [], 0, block + 1
-        which, times = np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, text.split())), np.int64), return_counts=True)
+            words, names, sizes, steps, times, held, block = Words(), [], [], [], [], 0, block + 1
+        which, count = np.unique(words.of(text), return_counts=True)
         names.append(doc_id)
-        sizes.append(len(text))
-        uses.append(np.column_stack([which, times]).astype("<u4"))
-        ends.append(len(which))
-        held += len(text)
+        sizes.append(size)
+        steps.append(np.diff(which, prepend=0).astype("<u4"))
+        times.append(count.astype("<u4"))
+        held += size
     if names:
         yield made()
 
 
 def count_runs(vocabulary: str):
-    """mapInArrow: (block, at, word) sorted by word -> (block, at, pieces); each run of one word is encoded once."""
+    """mapInArrow: (place, word) sorted by word -> (block, at, pieces); each run of one word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path(vocabulary))
@@ -87,7 +101,8 @@ def count_runs(vocabulary: str):
             counts = ([last_n] if distinct[0] == last else []) + [len(x.ids) for x in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
             last, last_n = distinct[-1], counts[-1]
             pieces = np.array(counts, np.int32)[words.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(pieces)], names=["block", "at", "pieces"])
+            place = batch.column("place").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(place >> AT_BITS), pa.array((place & ((1 << AT_BITS) - 1)).astype(np.int32)), pa.array(pieces)], names=["block", "at", "pieces"])
 
     return run
 
@@ -98,9 +113,13 @@ def weigh(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     pieces = np.zeros(len(counts), np.int64)
     pieces[counts.column("at").to_numpy()] = counts.column("pieces").to_numpy()
     for row in blocks.to_pylist():
-        uses, ends = np.frombuffer(row["uses"], "<u4").reshape(-1, 2).astype(np.int64), np.frombuffer(row["ends"], "<i8")
-        upto = np.concatenate([[0], np.cumsum(pieces[uses[:, 0]] * uses[:, 1])])
-        totals.append(np.diff(upto[np.concatenate([[0], ends])]))
+        lengths, steps, times = (unsqueezed(row[c]) for c in ("lengths", "steps", "times"))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        upto = np.concatenate([[0], np.cumsum(steps)])
+        # A document's indexes are running sums of its own steps.
+        which = upto[1:] - np.repeat(upto[ends[:-1]], lengths)
+        weight = np.concatenate([[0], np.cumsum(pieces[which] * times)]) if len(which) else np.zeros(1, np.int64)
+        totals.append(np.diff(weight[ends]))
         names += row["doc_ids"]
         sizes += row["n_bytes"]
     return pa.table({"doc_id": pa.array(names, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(np.concatenate(totals) if totals else [], pa.int64())})
@@ -109,6 +128,6 @@ def weigh(blocks: pa.Table, counts: pa.Table) -> pa.Table:
 def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_bytes and n_tokens of every document."""
     blocks = cut(docs.select("doc_id", "text").mapInArrow(to_blocks, BLOCKS), "token-blocks", compression="zstd")
-    pairs = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    pairs = blocks.select("block", F.posexplode("words").alias("at", "word")).select(F.shiftleft("block", AT_BITS).bitwiseOR(F.col("at")).alias("place"), "word")
     counts = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(count_runs(vocabulary), "block long, at int, pieces int")
     return blocks.drop("words").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(weigh, "doc_id long, n_bytes long, n_tokens long")
