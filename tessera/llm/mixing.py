@@ -55,7 +55,10 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
         .withColumn("open", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     )
     enough = F.col("capped") + F.col("at") * F.col("open") >= F.col("budget")
-    ranked = ranked.withColumn("level", F.min(F.when(enough, (F.col("budget") - F.col("capped")) / F.col("open"))).over(everyone))
+    # The level is that of the first source, in order of caps, whose cap the budget doesn't reach.
+    ranked = ranked.withColumn("cap_order", F.row_number().over(by_cap)).withColumn("reached", F.when(enough, F.col("cap_order")))
+    first = F.col("cap_order") == F.min("reached").over(everyone)
+    ranked = ranked.withColumn("first", first).withColumn("level", F.max(F.when(F.col("first"), (F.col("budget") - F.col("capped")) / F.col("open"))).over(everyone))
     target = F.least(F.col("full"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight"))
     return ranked.select("source", "source_size", target.alias("target"))
 

@@ -20,7 +20,7 @@ WITH sized AS (
   SELECT *, coalesce(sum("full") OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS "open"
   FROM levels WINDOW w AS (ORDER BY "at", source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
-  SELECT *, min(CASE WHEN capped + "at" * "open" >= budget THEN (budget - capped) / "open" END) OVER () AS level FROM opened
+  SELECT *, (SELECT (budget - capped) / "open" FROM opened WHERE capped + "at" * "open" >= budget ORDER BY "at", source ASC NULLS LAST LIMIT 1) AS level FROM opened
 ), aims AS (
   SELECT source, source_size, least("full", coalesce(level, 'infinity'::DOUBLE) * weight) AS target FROM leveled
 ), planned AS (
