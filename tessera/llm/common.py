@@ -32,15 +32,6 @@ def cut(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a cut that nothing will read again."""
-    files = df.inputFiles()
-    if files:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def n_words(text: Column) -> Column:
     """Words in the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

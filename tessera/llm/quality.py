@@ -155,9 +155,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, all their columns; estimates come from the whole of docs and no text is shuffled."""
-    light = cut(text_counts(docs.select("lang", "source", "text")).drop("text"), "quality-counts")
+    """The rows of docs that are kept, all their columns. The counted documents are cut once, so each text is counted once and none is shuffled."""
     whole = docs.select(F.struct("*").alias("_doc")).select("_doc", "_doc.lang", "_doc.source", F.col("_doc.text").alias("_text"))
-    counted = text_counts(whole, "_text").drop("_text").withColumn("base_failed", base_failed())
-    scored = distance(counted.select("*", *vector()), estimates(light))
+    counted = cut(text_counts(whole, "_text").drop("_text"), "quality-counted", compression="zstd")
+    scored = distance(counted.withColumn("base_failed", base_failed()).select("*", *vector()), estimates(counted.drop("_doc")))
     return scored.where(verdict()).select("_doc.*")
