@@ -38,7 +38,8 @@ from tessera.llm.common import cut, small
 LENGTH, GRAM = 100, 50
 SLICE = 1 << 20
 BUCKET_BYTES = 16 << 20
-BATCH = 1 << 22
+BATCH = 1 << 20
+RUNS = 1 << 18
 _rng = np.random.default_rng(31)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = 0xD6E8FEB86659FD93
@@ -164,7 +165,7 @@ def find_runs(buckets: int):
                     h, whole, anchor, lead, span = runs(data[at : at + SLICE + LENGTH - 1])
                     held.append((h, whole, np.full(len(h), doc, np.int64), packed(tie, anchor + at, lead, span)))
                     size += len(h)
-                    if size > 1 << 20:
+                    if size > RUNS:
                         yield from settle(held)
                         held, size = [], 0
         if held:
@@ -212,13 +213,25 @@ def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def show_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: documents with the runs asked of them -> (anchor, doc, place, bytes)."""
+    held: list[tuple] = []
+    size = 0
+
+    def shown() -> pa.RecordBatch:
+        anchor, doc, place = (np.concatenate([h[i] for h in held]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(place), pa.array([x for h in held for x in h[3]], pa.binary())], names=["anchor", "doc", "place", "bytes"])
+
     for batch in batches:
         for doc, text, blobs in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("blobs"), strict=True):
             data = (text.as_py() or "").encode()
             asked = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs.as_py()])
             _, start, stop = unpacked(asked[:, 1])
-            shown = [data[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[:, 0]), pa.array(np.full(len(shown), doc)), pa.array(asked[:, 1]), pa.array(shown, pa.binary())], names=["anchor", "doc", "place", "bytes"])
+            held.append((asked[:, 0], np.full(len(asked), doc, np.int64), asked[:, 1], [data[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]))
+            size += len(asked)
+            if size > 10_000:
+                yield shown()
+                held, size = [], 0
+    if held:
+        yield shown()
 
 
 def refine(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
