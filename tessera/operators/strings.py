@@ -54,7 +54,7 @@ def strlen(value: Column) -> Column:
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """The longest common subsequence, by Hirschberg-free dynamic programming in Arrow batches; ties prefer the later match."""
+    """The longest common subsequence, by dynamic programming in Arrow batches; ties prefer the later match."""
 
     @F.pandas_udf("string")
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
