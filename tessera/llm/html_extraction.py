@@ -11,6 +11,8 @@ their result; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
@@ -78,7 +80,8 @@ class Labeller:
 
     @classmethod
     def load(cls) -> Labeller:
-        with np.load(MODEL) as stored:
+        # Through the loader, so that a package shipped as a zip works as well.
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, MODEL.name))) as stored:
             return cls({k: stored[k].astype(np.float32) for k in stored.files})
 
     def direction(self, x: np.ndarray, mask: np.ndarray, d: str) -> np.ndarray:
