@@ -5,7 +5,9 @@ MinHash values stands for it. The forest is `TREES` orders of all classes, each
 that agree on the first `DEPTH` slots of an order form a region of it; within a region they are sorted by the slots
 that follow, so neighbours there have the longest common prefix.
 
-1. Neighbours in any order are candidates; a class verifies the `NEAREST` most similar ones by signature.
+1. Neighbours in any order are candidates, and so is the hub of a region, the member whose signature is nearest to the
+   region's most frequent values: copies that were each edited apart are often like their origin only. A class
+   verifies the `NEAREST` most similar candidates by signature.
 2. Pairs are verified on full sets; components of the true links follow.
 3. Whatever a region still holds of different components is compared as well: all pairs of its members from different
    components, block against block in bounded blocks, by signature, then on full sets. This is the adaptive part:
@@ -37,7 +39,7 @@ SLOTS, TREES, DEPTH, DEEPER = 128, 40, 5, 4
 NEAREST = 2
 SIMILAR = 0.8
 LOOKS_SIMILAR = 0.64
-BLOCK = 1024
+BLOCK, HUB_ROWS = 1024, 4096
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -156,6 +158,27 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(share[keep])], names=["a", "b", "share"])
 
 
+def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: members sorted by region -> each with its region's hub. A long region goes in parts, which pass their hub on."""
+    last, hub = None, None
+    for run in runs(batches, ("region",)):
+        table = run.combine_chunks()
+        for at in range(0, len(table), HUB_ROWS):
+            part = table.slice(at, HUB_ROWS)
+            region, node, slots = part.column("region")[0].as_py(), part.column("node").to_numpy(), matrix(part.column("signature").combine_chunks())
+            if region != last:
+                hub, last = None, region
+            ordered = np.sort(slots, axis=0)
+            # The middle of the sorted values is the most frequent one where most agree.
+            likeness = (slots == ordered[len(ordered) // 2]).sum(1)
+            best = int(np.argmax(likeness))
+            pairs = [(int(node[best]), node)] + ([(hub, node)] if hub is not None else [])
+            for h, others in pairs:
+                keep = others != h
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others[keep], h)), pa.array(np.maximum(others[keep], h))], names=["a", "b"])
+            hub = int(node[best])
+
+
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: members sorted by (region, i, j) -> similar pairs from different components. A run is two blocks at most."""
 
@@ -249,8 +272,12 @@ def true_links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int)
 
 
 def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Neighbours in any order; each class keeps the nearest by signature."""
-    pairs = members.where("next IS NOT NULL AND next <> node").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+    """Neighbours in any order and hubs of regions; each class keeps the nearest by signature."""
+    pairs = members.where("next IS NOT NULL AND next <> node").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
+    several = members.groupBy("region").agg(F.count("*").alias("m")).where("m > 2").select("region")
+    rows = members.select("region", "node").join(several, "region").join(classes.select("node", "signature"), "node")
+    around = rows.select("region", "node", "signature").repartition("region").sortWithinPartitions("region").mapInArrow(hubs, "a long, b long")
+    pairs = pairs.unionByName(around).distinct()
     likely = cut(with_signatures(pairs, classes).mapInArrow(similar, "a long, b long, share double"), "near-likely")
     ends = likely.select("a", "b", "share", F.explode(F.array("a", "b")).alias("end"))
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("share"), "a", "b"))
@@ -290,7 +317,8 @@ def label(docs: DataFrame, size: int) -> DataFrame:
     rest = cut(remaining(members, classes, found), "near-rest")
     if rest.take(1):
         more = true_links(docs, rest, classes, size)
-        found = cut(components(links.unionByName(more)), "near-found")
+        stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = cut(components(stars.unionByName(more)), "near-found")
 
     named = classes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = found.join(named, "root").select("node", "component_id")
