@@ -2,7 +2,8 @@
 
 References are decoded, white space inside a block is one space, comments and elements that hold no text of the page
 (scripts, styles, form controls, the head) are left out. Unclosed elements end as HTML ends them: a block closes an open
-paragraph, an item the item before it, an end tag everything opened since its start tag.
+paragraph, an item the item before it, an end tag everything opened since its start tag. So do left-out elements, but for
+`RAW` ones, whose text is no markup: without an end tag these reach to the page's end.
 """
 
 from __future__ import annotations
@@ -17,21 +18,43 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = ("script", "style", "noscript", "template", "textarea", "select", "button", "svg", "iframe", "object", "canvas", "audio", "video", "title", "math")
+RAW = frozenset("script style textarea title".split())
+RAW_IF_CLOSED = frozenset("noscript iframe".split())
+UNNESTED = RAW_IF_CLOSED | frozenset("button select".split())  # a start tag ends an open one
+FOREIGN = frozenset("svg math".split())
+SILENT = frozenset("noscript template select button svg iframe object canvas audio video math".split())
+# Left-out elements that an end tag of another element inside a line doesn't end.
+WALLS = frozenset("noscript template select button iframe object".split())
+# Start tags that end an open svg or math, unless one of `INSIDE` is open in it.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("ul ol table dl select article section main div body aside nav header footer form".split())
 CLOSES_P = BLOCKS - frozenset("br td th tr tbody thead tfoot caption body html option optgroup legend summary".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<silent>{'|'.join(SILENT)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+_EDGE = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW | RAW_IF_CLOSED}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def _raw_end(page: str, at: int, name: str) -> int | None:
+    """Where an element of mere text that starts before `at` ends; None if it is taken as an element like others."""
+    for edge in _EDGE[name].finditer(page, at):
+        if edge[1]:
+            return edge.end()
+        if name in RAW_IF_CLOSED:
+            return None
+    return len(page) if name in RAW else None
+
+
 @dataclass
 class Block:
     text: str
@@ -73,9 +96,32 @@ def blocks(page: str | None) -> list[Block]:
         links -= sum(n == "a" for n, _ in stack[i:])
         del stack[i:]
 
+    def closed_by(name: str) -> int | None:
+        """The place in the stack of the element that an end tag closes."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == name:
+                return i
+            if (stack[i][0] in SCOPES or stack[i][0] in WALLS) and name not in BLOCKS and name not in SILENT:
+                return None
+        return None
+
+    def broken_out(name: str) -> int | None:
+        """The place in the stack of the left-out element that a start tag ends."""
+        if name in UNNESTED:
+            return next((i for i in range(quiet, len(stack)) if stack[i][0] == name), None)
+        place = None
+        if name in BREAKS_OUT:
+            for i in range(len(stack) - 1, quiet - 1, -1):
+                if stack[i][0] in INSIDE:
+                    break
+                if stack[i][0] in FOREIGN:
+                    place = i
+        return place
+
+    quiet: int | None = None  # place in the stack of the outermost left-out element
     at = 0
-    for found in _TOKEN.finditer(page):
-        if found.start() > at:
+    while found := _TOKEN.search(page, at):
+        if found.start() > at and quiet is None:
             piece = page[at : found.start()]
             parts.append(piece)
             if links:
@@ -87,14 +133,31 @@ def blocks(page: str | None) -> list[Block]:
         name = name.lower()
         block = name in BLOCKS
         if found["end"]:
+            place = closed_by(name)
+            if quiet is not None:
+                if place is None:
+                    continue
+                if place >= quiet:
+                    del stack[place:]
+                    quiet = quiet if place > quiet else None
+                    continue
+                del stack[quiet:]
+                quiet = None
             if block or name == "head":
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPES and not block:
-                    break
+            if place is not None:
+                pop_to(place)
+            continue
+        attrs = found["attrs"].rstrip()
+        if quiet is not None and (place := broken_out(name)) is not None:
+            del stack[place:]
+            quiet = quiet if place > quiet else None
+        if quiet is not None or name in SILENT or name in RAW:
+            if name in _EDGE and not any(n in FOREIGN for n, _ in stack[len(stack) if quiet is None else quiet :]) and (end := _raw_end(page, at, name)) is not None:
+                at = end
+            elif name not in VOID and not (attrs.endswith("/") and not _UNQUOTED.search(attrs)):
+                quiet = len(stack) if quiet is None else quiet
+                stack.append((name, name))
             continue
         if block or name in ("head", "body"):
             flush()
@@ -116,10 +179,12 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in SCOPES:
                     break
-        if not found["attrs"].rstrip().endswith("/"):
+        if not attrs.endswith("/"):
             stack.append((name, _label(name, found["attrs"])))
             links += name == "a"
-    if at < len(page):
+    if quiet is None:
         parts.append(page[at:])
+    else:
+        del stack[quiet:]
     flush()
     return out

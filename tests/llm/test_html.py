@@ -37,6 +37,23 @@ def test_blocks():
     assert blocks(None) == [] and blocks("<script>") == []
 
 
+def test_left_out_elements_end_where_html_ends_them():
+    text = lambda page: [b.text for b in blocks(page)]
+    rest = "<p>second</p><p>third</p>"
+    for tag in ("svg-icon", "video-player", "button-group", "select-box", "title_bar"):
+        assert text(f'<p><{tag} name="x"></{tag}> first</p>{rest}') == ["first", "second", "third"]
+    for start in ("<svg/>", "<svg class='a' />", "<math/>", "<svg hidden/>"):
+        assert text(f"<p>{start} first</p>{rest}") == ["first", "second", "third"]
+    for tag in ("noscript", "button", "object", "iframe", "select", "template", "canvas", "audio", "video", "svg"):
+        assert text(f"<div>first <{tag} class=x>no</div>{rest}") == ["first", "second", "third"]
+        assert text(f"<p>fir<{tag} class=x>no<x>no</x></{tag}>st</p>{rest}") == ["first", "second", "third"]
+    assert text(f"<svg><path d='x'>{rest}") == text(f"<svg><title/><style/></svg>{rest}") == ["second", "third"]
+    assert text(f"<svg><foreignObject><p>no</foreignObject><svg></svg>no</svg>{rest}") == ["second", "third"]
+    assert text(f"<p>one <button><div>no</div><button>no</button> two</p>{rest}") == ["one two", "second", "third"]
+    assert text(f"<object data=/a/>no</object>{rest}") == ["second", "third"]
+    assert text(f"<noscript></p><p>no</noscript>{rest}<script>{rest}") == ["second", "third"]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in html_training.initial(3).items()}
