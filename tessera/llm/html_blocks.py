@@ -1,9 +1,10 @@
 """Pages as sequences of leaf blocks: the text between block-level tags, with the path of elements above it.
 
 References are decoded, white space inside a block is one space, comments and elements that hold no text of the page
-(scripts, styles, form controls, the head) are left out. Unclosed elements end as HTML ends them: a block closes an open
-paragraph, an item the item before it, an end tag everything opened since its start tag. So do left-out elements, but for
-`RAW` ones, whose text is no markup: without an end tag these reach to the page's end.
+(scripts, styles, form controls, the head) are left out. Unclosed elements end as HTML ends them: text or a tag that can't
+be in a head closes the head, a block an open paragraph, an item the item before it, an end tag everything opened since
+its start tag. So do left-out elements, but for `RAW` ones, whose text is no markup: without an end tag these reach to the
+page's end.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title".split())
 RAW_IF_CLOSED = frozenset("noscript iframe".split())
 UNNESTED = RAW_IF_CLOSED | frozenset("button select".split())  # a start tag ends an open one
@@ -81,12 +83,13 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = 0
     links = 0
+    quiet: int | None = None  # place in the stack of the outermost left-out element
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(n == "head" for n, _ in stack):
+            if text:
                 out.append(Block(text, tuple(label for n, label in stack if n in BLOCKS or "." in label), min(linked, len(text))))
             parts.clear()
         linked = 0
@@ -96,12 +99,21 @@ def blocks(page: str | None) -> list[Block]:
         links -= sum(n == "a" for n, _ in stack[i:])
         del stack[i:]
 
+    def end_head(name: str = "") -> None:
+        """Closes an open head before text or a start tag that it can't hold; an unclosed noscript in it too."""
+        nonlocal quiet
+        if quiet is not None and (name == "body" or stack[quiet][0] == "noscript") and quiet and stack[quiet - 1][0] == "head":
+            del stack[quiet - 1 :]
+            quiet = None
+        elif quiet is None and stack and stack[-1][0] == "head":
+            stack.pop()
+
     def closed_by(name: str) -> int | None:
         """The place in the stack of the element that an end tag closes."""
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 return i
-            if (stack[i][0] in SCOPES or stack[i][0] in WALLS) and name not in BLOCKS and name not in SILENT:
+            if (stack[i][0] in SCOPES or stack[i][0] in WALLS) and name not in BLOCKS and name not in SILENT and name != "head":
                 return None
         return None
 
@@ -118,11 +130,12 @@ def blocks(page: str | None) -> list[Block]:
                     place = i
         return place
 
-    quiet: int | None = None  # place in the stack of the outermost left-out element
     at = 0
     while found := _TOKEN.search(page, at):
-        if found.start() > at and quiet is None:
-            piece = page[at : found.start()]
+        piece = page[at : found.start()]
+        if piece.strip():
+            end_head()
+        if piece and quiet is None:
             parts.append(piece)
             if links:
                 linked += len(piece)
@@ -148,6 +161,8 @@ def blocks(page: str | None) -> list[Block]:
             if place is not None:
                 pop_to(place)
             continue
+        if name not in IN_HEAD:
+            end_head(name)
         attrs = found["attrs"].rstrip()
         if quiet is not None and (place := broken_out(name)) is not None:
             del stack[place:]
@@ -161,8 +176,6 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if block or name in ("head", "body"):
             flush()
-        if name == "body":
-            stack[:] = [x for x in stack if x[0] != "head"]
         if name in VOID:
             continue
         if name in CLOSES_P:
@@ -182,6 +195,8 @@ def blocks(page: str | None) -> list[Block]:
         if not attrs.endswith("/"):
             stack.append((name, _label(name, found["attrs"])))
             links += name == "a"
+    if page[at:].strip():
+        end_head()
     if quiet is None:
         parts.append(page[at:])
     else:

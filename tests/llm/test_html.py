@@ -54,6 +54,19 @@ def test_left_out_elements_end_where_html_ends_them():
     assert text(f"<noscript></p><p>no</noscript>{rest}<script>{rest}") == ["second", "third"]
 
 
+def test_head_without_end_tag():
+    text = lambda page: [b.text for b in blocks(page)]
+    start = "<!doctype html><html><head><meta charset=utf-8> <title>t</title>\n<style>p{}</style><script>x</script><link rel=x> <!-- c -->"
+    for body in ("<h1>one</h1><p>two", "<a href=x>one</a><p>two</p>", "one<p>two", "<img src=x>one<br>two", "<body><p>one<p>two", "</head><p>one<p>two", "<svg><g></g></svg>one<p>two"):
+        assert text(start + body) == text(start + "<noscript><link></noscript>" + body) == text(start + "<noscript><link>" + body) == ["one", "two"]
+    assert [b.path for b in blocks(start + "<div class=story><p>one")] == [("html", "div.story", "p")]
+    assert text(start + "<template><p>no</head><body>one") == text(start + "<template><p>no<body>one") == ["one"]
+    assert text(start) == text(start + "</head><body></body></html>") == []
+    article = "<article><h1>Head line</h1><p>One two three, four five six.</p><p>Seven eight nine, ten.</p></article>"
+    model = html_extraction.Labeller.load()
+    assert html_extraction.main_texts(model, [start + article]) == html_extraction.main_texts(model, [f"{start}</head><body>{article}</body></html>"]) == ["Head line\nOne two three, four five six.\nSeven eight nine, ten."]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in html_training.initial(3).items()}
