@@ -170,45 +170,77 @@ class Bloom:
 
 
 class Cuckoo:
-    """Fingerprints of 16 bits in two possible buckets each; supports deletion. One filter holds a bounded number of items."""
+    """Fingerprints of 16 bits in two possible buckets each; supports deletion.
 
-    def __init__(self, capacity: int, bucket: int = 4, max_moves: int = 500):
-        self.bucket, self.max_moves = bucket, max_moves
+    One table holds a bounded number of items. An item that finds no place opens another table of `expansion` times the
+    buckets (CF.RESERVE's EXPANSION), so no item is ever lost; a filter is its tables one after the other.
+    """
+
+    def __init__(self, capacity: int, bucket: int = 4, max_moves: int = 500, expansion: int = 2):
+        if expansion < 1 or expansion & (expansion - 1):
+            raise ValueError("expansion must be a power of two")
+        self.bucket, self.max_moves, self.expansion = bucket, max_moves, expansion
         self.buckets = 1 << max(1, math.ceil(math.log2(capacity / bucket / 0.9)))
         self.capacity = capacity
 
-    def _place(self, h1: int, h2: int) -> tuple[int, int, int]:
+    def _place(self, table: np.ndarray, h1: int, h2: int) -> tuple[int, int, int]:
         mark = (h2 & 0xFFFF) or 1
-        first = h1 % self.buckets
-        return mark, first, self.other(first, mark)
+        first = h1 % len(table)
+        return mark, first, self.other(table, first, mark)
 
-    def other(self, place: int, mark: int) -> int:
-        return place ^ ((mark * 0x5BD1E995) & (self.buckets - 1))
+    def other(self, table: np.ndarray, place: int, mark: int) -> int:
+        return place ^ ((mark * 0x5BD1E995) & (len(table) - 1))
 
-    def insert(self, table: np.ndarray, h1: int, h2: int) -> bool:
-        mark, a, b = self._place(h1, h2)
-        for place in (a, b):
+    def _free(self, table: np.ndarray, mark: int, *places: int) -> bool:
+        for place in places:
             free = np.flatnonzero(table[place] == 0)
             if len(free):
                 table[place, free[0]] = mark
                 return True
-        place = a
+        return False
+
+    def insert(self, table: np.ndarray, h1: int, h2: int) -> bool:
+        """Whether the item found a place; if not, the table is as it was before."""
+        mark, a, b = self._place(table, h1, h2)
+        if self._free(table, mark, a, b):
+            return True
+        place, moved = a, []
         for move in range(self.max_moves):
             slot = move % self.bucket
-            mark, table[place, slot] = int(table[place, slot]), mark
-            place = self.other(place, mark)
-            free = np.flatnonzero(table[place] == 0)
-            if len(free):
-                table[place, free[0]] = mark
+            moved.append((place, slot, int(table[place, slot])))
+            table[place, slot] = mark
+            mark = moved[-1][2]
+            place = self.other(table, place, mark)
+            if self._free(table, mark, place):
                 return True
+        for place, slot, mark in reversed(moved):
+            table[place, slot] = mark
         return False
 
+    def add(self, tables: list[np.ndarray], h1: int, h2: int) -> None:
+        """Inserts into a free slot of any table, newest first, then by moves in the newest, then into a new table."""
+        for table in reversed(tables):
+            if self._free(table, *self._place(table, h1, h2)):
+                return
+        if not tables or not self.insert(tables[-1], h1, h2):
+            tables.append(np.zeros((self.buckets * self.expansion ** len(tables), self.bucket), np.uint16))
+            self.insert(tables[-1], h1, h2)
+
+    def tables(self, data: bytes) -> list[np.ndarray]:
+        """The tables of a filter."""
+        slots, out, at = np.frombuffer(data, np.uint16).reshape(-1, self.bucket), [], 0
+        while at < len(slots):
+            size = self.buckets * self.expansion ** len(out)
+            out.append(slots[at : at + size])
+            at += size
+        return out
+
     def count(self, table: np.ndarray, h1: int, h2: int) -> int:
-        mark, a, b = self._place(h1, h2)
+        mark, a, b = self._place(table, h1, h2)
         return int((table[a] == mark).sum() + ((table[b] == mark).sum() if a != b else 0))
 
     def delete(self, table: np.ndarray, h1: int, h2: int) -> bool:
-        mark, a, b = self._place(h1, h2)
+        mark, a, b = self._place(table, h1, h2)
         for place in (a, b):
             here = np.flatnonzero(table[place] == mark)
             if len(here):
@@ -217,14 +249,14 @@ class Cuckoo:
         return False
 
     def build(self, df: DataFrame, item: str, key: str) -> DataFrame:
-        """A filter for each key, whose items must fit its capacity; distinct items, so pre-aggregated before the shuffle."""
+        """A filter for each key; distinct items, so pre-aggregated before the shuffle. None is rejected, whatever their number."""
         me = self
 
         def fill(frame: pd.DataFrame) -> pd.DataFrame:
-            table, full = np.zeros((me.buckets, me.bucket), np.uint16), 0
+            tables: list[np.ndarray] = []
             for h1, h2 in zip(_u(frame["_h1"]).tolist(), _u(frame["_h2"]).tolist(), strict=True):
-                full += not me.insert(table, h1, h2)
-            return pd.DataFrame({key: [frame[key].iloc[0]], "filter": [table.tobytes()], "rejected": [full]})
+                me.add(tables, h1, h2)
+            return pd.DataFrame({key: [frame[key].iloc[0]], "filter": [b"".join(t.tobytes() for t in tables)], "rejected": [0]})
 
         rows = df.where(F.col(item).isNotNull()).select(key, item).distinct().select(key, *hash_pair(F.col(item)))
         return rows.groupBy(key).applyInPandas(fill, f"{key} {df.schema[key].dataType.simpleString()}, filter binary, rejected int")
@@ -235,11 +267,11 @@ class Cuckoo:
 
         @F.pandas_udf("int")
         def counts(h1: pd.Series, h2: pd.Series, f: pd.Series) -> pd.Series:
-            out, last, table = [], None, None
+            out, last, tables = [], None, []
             for a, b, data in zip(_u(h1).tolist(), _u(h2).tolist(), f, strict=True):
                 if data is not last:
-                    last, table = data, np.frombuffer(data, np.uint16).reshape(-1, me.bucket)
-                out.append(me.count(table, a, b))
+                    last, tables = data, me.tables(data)
+                out.append(sum(me.count(t, a, b) for t in tables))
             return pd.Series(out, dtype="int32")
 
         return items.select(key, item, *hash_pair(F.col(item))).join(filters, key).select(key, item, counts("_h1", "_h2", "filter").alias("count"))

@@ -118,6 +118,27 @@ def test_sketches(spark):
     assert abs(sketches.pf_add(df, "x").select(sketches.pf_count()).first()[0] - 500) < 20
 
 
+def test_cuckoo_beyond_its_capacity(spark):
+    df = spark.range(3000).select(F.col("id").alias("x"), (F.col("id") % 2).alias("k"))
+    cuckoo = sketches.Cuckoo(200)
+    held = cuckoo.build(df, "x", "k")
+    seen = cuckoo.contains(held, df, "x", "k")
+    assert seen.count() == 3000 and seen.filter("count = 0").count() == 0
+    others = df.select((F.col("x") + 3000).alias("x"), "k")
+    assert cuckoo.contains(held, others, "x", "k").filter("count > 0").count() < 30
+    import numpy as np
+
+    # A failed insertion moves nothing; as many equal items as one likes find a place.
+    table = np.zeros((cuckoo.buckets, cuckoo.bucket), np.uint16)
+    full = [cuckoo.insert(table, 5, 77) for _ in range(8)]
+    before = table.copy()
+    assert all(full) and not cuckoo.insert(table, 5, 77) and (table == before).all()
+    tables = []
+    for _ in range(50):
+        cuckoo.add(tables, 5, 77)
+    assert sum(cuckoo.count(t, 5, 77) for t in cuckoo.tables(b"".join(t.tobytes() for t in tables))) == 50
+
+
 def test_geo(spark):
     assert one(spark, spatial.geohash(F.lit(38.115556), F.lit(13.361389), 10)) == "sqc8b49rny"
     assert one(spark, geo.distance(F.lit(13.361389), F.lit(38.115556), F.lit(15.087269), F.lit(37.502669))) == pytest.approx(166274.15, abs=0.5)
