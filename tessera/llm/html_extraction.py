@@ -1,6 +1,7 @@
 """Main text of pages by a recurrent block labeller: a bidirectional LSTM over the leaf blocks of each page.
 
-Every block is a vector: hashed names and class words along its tag path, hashed words of its text, and a few measures.
+Every block is a vector: hashed names and class words along its tag path, hashed words of its text if these are at most 12
+(of Latin letters), and a few measures.
 The network reads a page's blocks in both directions, so a block is judged in the light of the whole page. The weights
 (`html_model.npz`) come from `python -m tessera.llm.html_training`, on made-up pages only.
 
