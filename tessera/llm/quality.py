@@ -29,7 +29,7 @@ LEAST = 12
 CUTOFF = 45.0
 #: Fixed point of the statistics.
 ONE = 1024
-#: Standard deviations that the scatter doesn't fall below, by dimension: most texts have no symbols or repeats at all.
+#: Standard deviations added in quadrature to the scatter's, by dimension: most texts have no symbols or repeats at all. They outweigh the estimate where texts vary less.
 FLOOR = (0.8, 0.6, 0.6, 0.6, 0.6)
 DIM = range(len(FLOOR))
 
