@@ -10,8 +10,9 @@ that follow, so neighbours there have the longest common prefix.
    verifies the `NEAREST` most similar candidates by signature.
 2. Pairs are verified on full sets; components of the true links follow.
 3. Whatever a region still holds of different components is compared as well: all pairs of its members from different
-   components, block against block in bounded blocks, by signature, then on full sets. This is the adaptive part:
-   regions that have become one component, however large, cost nothing more, and no pair in any region is dropped.
+   components, block against block in bounded blocks, by signature, then on full sets. Regions that have become
+   one component, however large, cost nothing more, and no pair in any region is dropped. The depth is the same in all
+   regions: a crowded one isn't split by more slots, since pairs that part there would need more orders to meet again.
 
 A pair at similarity 0.8 misses every region with a probability of about (1 - 0.8**5)**40 < 2e-7 (slots shared between
 orders raise that slightly), and the signature filter lies more than four deviations below the threshold.
