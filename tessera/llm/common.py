@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,7 +31,17 @@ def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and a lost executor costs a re-read only."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of cut tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_words(text: Column) -> Column:
@@ -39,4 +51,4 @@ def n_words(text: Column) -> Column:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if it has no more than so many rows (which the caller knows to be narrow), else df as it is."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

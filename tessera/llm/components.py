@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     around = both if large else both.where("b < a")
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = around.join(least, "a")
-    moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    moved = (joined.where("b > a") if large else joined).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not large:
+        moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
@@ -31,9 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = cut(_star(cut(_star(edges, True), "edges"), False), "edges")
+        large = cut(_star(edges, True), "edges")
+        after_both = cut(_star(large, False), "edges")
+        discard(edges, large)
+        edges = after_both
         after = _state(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
