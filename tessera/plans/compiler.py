@@ -219,18 +219,21 @@ class Compiler:
         analyzer = self.entity.analyzers.get(name)
         if not analyzer:
             raise QueryError(f"{name} is not a full-text attribute of {self.entity.name}")
-        return F.coalesce(self.clause(node.clause, F.col(name), analyzer), F.lit(0))
+        return F.coalesce(self.counted(node.clause, F.col(name), analyzer), F.lit(0))
 
-    def clause(self, clause, value: Column, analyzer: str) -> Column:
-        tokens = fulltext.ANALYZERS[analyzer](value)
+    def counted(self, clause, value: Column, analyzer: str) -> Column:
+        """The count of a clause. A lambda binds the tokens, so that a row's text is analyzed once, not for every use of a token."""
+        return F.get(F.transform(F.array(fulltext.ANALYZERS[analyzer](value)), lambda tokens: self.clause(clause, tokens, value, analyzer)), 0)
+
+    def clause(self, clause, tokens: Column, value: Column, analyzer: str) -> Column:
         if isinstance(clause, Boost):
-            return self.clause(clause.part, value, analyzer)
+            return self.clause(clause.part, tokens, value, analyzer)
         if isinstance(clause, Occur):
-            return self.clause(Not(clause.part) if clause.sign == "-" else clause.part, value, analyzer)
+            return self.clause(Not(clause.part) if clause.sign == "-" else clause.part, tokens, value, analyzer)
         if isinstance(clause, Not):
-            return F.when(F.coalesce(self.clause(clause.part, value, analyzer), F.lit(0)) > 0, 0).otherwise(1)
+            return F.when(F.coalesce(self.clause(clause.part, tokens, value, analyzer), F.lit(0)) > 0, 0).otherwise(1)
         if isinstance(clause, (And, Or)):
-            counts = [F.coalesce(self.clause(p, value, analyzer), F.lit(0)) for p in clause.parts]
+            counts = [F.coalesce(self.clause(p, tokens, value, analyzer), F.lit(0)) for p in clause.parts]
             if isinstance(clause, And):
                 return F.least(*counts)
             # Signed clauses must all hold; without a positive one, so must one of the others.
@@ -285,7 +288,7 @@ class Compiler:
             return self.clause_score(clause.part, value, analyzer, factor) if clause.sign == "+" else F.lit(0.0)
         if isinstance(clause, Not):
             return F.lit(0.0)
-        return fulltext.saturated(self.clause(clause, value, analyzer)) * factor
+        return fulltext.saturated(self.counted(clause, value, analyzer)) * factor
 
     # projections
     def scalar(self, item) -> Column:
