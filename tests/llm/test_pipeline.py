@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain Python on a small corpus; and the outlier rule against numpy."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from tessera.llm import decontamination, quality, queries  # noqa: E402
@@ -21,49 +24,114 @@ from .conftest import DOCUMENTS  # noqa: E402
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def chi_square(share, dims):
+    """Quantile by sums of many normal draws' closed form: integrates the density step by step."""
+    x = np.linspace(1e-6, 120, 2_000_001)
+    density = x ** (dims / 2 - 1) * np.exp(-x / 2) / (2 ** (dims / 2) * math.gamma(dims / 2))
+    total = np.cumsum(density) * (x[1] - x[0])
+    return x[np.searchsorted(total, share)], total, x
+
+
+def mcd(v, support, floor, starts):
+    """The estimate of the least determinant over so many random starts, or over all subsets where starts is None."""
+    n, dims = v.shape
+    h = math.ceil(support * n)
+    at, _, _ = chi_square(support, dims)
+    _, total, x = chi_square(0.5, dims + 2)
+    factor = support / total[np.searchsorted(x, at)]
+
+    def estimate(rows):
+        c = factor * np.cov(rows.T, bias=True).reshape(dims, dims)
+        c[np.diag_indices(dims)] = np.maximum(np.diag(c), np.square(floor))
+        return rows.mean(0), c, np.linalg.slogdet(c)[1]
+
+    far = lambda m, c, of: np.einsum("ij,jk,ik->i", of - m, np.linalg.inv(c), of - m)
+    if starts is None:
+        return min((estimate(v[list(s)]) for s in itertools.combinations(range(n), h)), key=lambda e: e[2])
+    rng, best = np.random.default_rng(5), None
+    for _ in range(starts):
+        m, c, det = estimate(v[rng.choice(n, min(n, 20), replace=False)])
+        for _ in range(30):
+            m, c, now = estimate(v[np.argsort(far(m, c, v), kind="stable")[:h]])
+            if abs(now - det) < 1e-12:
+                break
+            det = now
+        if best is None or det < best[2]:
+            best = (m, c, det)
+    return best
+
+
+def statistics(text):
+    n, chars, symbols, _, rep = test_tokens_and_counts.counts(text or "")
+    upper, marks = len(re.findall("[A-Z]", text or "")), len(re.findall("[.,;:!?]", text or ""))
+    words, size = n + 20, chars + 100
+    rates = (size / words, math.log1p(100 * symbols / words), math.log1p(100 * (upper + 1.5) / size), math.log1p(100 * (marks + 2.6) / words), math.log1p(100 * rep / words))
+    return n < 10 or 100 * rep > 20 * n, [math.floor(min(x, 1000.0) * 1024 + 0.5) / 1024 for x in rates]
+
+
 def verdicts(rows):
-    """doc index -> kept, by the rule in quality.py, in plain numpy: rows are (lang, source, text)."""
-    counts = [test_tokens_and_counts.counts(t or "") for _, _, t in rows]
-    failed = [n < 10 or 100 * rep > 20 * n for n, _, _, _, rep in counts]
-    vectors, groups = {}, collections.defaultdict(list)
+    """For each (lang, source, text): base rule failed, and squared distance by an estimate from random starts, in numpy."""
+    found = [statistics(t) for _, _, t in rows]
+    groups, pools, rest = collections.defaultdict(list), collections.defaultdict(list), []
     for i, (lang, source, _) in enumerate(rows):
-        n, chars, symbols, lines, rep = counts[i]
-        m = max(n, 1)
-        rates = (chars / m, math.log1p(100 * symbols / m), math.log1p(100 * rep / m), math.log1p(100 * lines / m), math.log1p(100 * symbols / max(chars, 1)))
-        vectors[i] = np.array([math.floor(min(x, 1000.0) * 1024 + 0.5) for x in rates], float)
-        groups[(lang, source)] += [i] if not failed[i] else []
-    kept = [not f for f in failed]
-    floor = np.diag(np.square(quality.FLOOR))
-    for of in groups.values():
-        if len(of) < quality.LEAST:
-            continue
-        v = np.array([vectors[i] for i in of])
-        bins = np.floor(v / 64)
-        at = lambda q, c: sorted(c)[math.ceil(q * len(c)) - 1] + 0.5
-        centre = np.array([at(0.5, c) / 16 for c in bins.T])
-        scatter = np.diag([((at(0.75, c) - at(0.25, c)) / 16 / 1.349) ** 2 for c in bins.T])
-        for _ in range(quality.STEPS):
-            y = v / 1024 - centre
-            d2 = np.einsum("ij,jk,ik->i", y, np.linalg.inv(scatter + floor), y)
-            b = np.floor(np.log2(1 + d2) * 64)
-            last = sorted(b)[math.ceil(quality.SUPPORT * len(b)) - 1]
-            near = v[b <= last] / 1024
-            centre = near.mean(0)
-            scatter = quality.CONSISTENT * (near.T @ near / len(near) - np.outer(centre, centre))
-        y = v / 1024 - centre
-        d2 = np.einsum("ij,jk,ik->i", y, np.linalg.inv(scatter + floor), y)
-        for i, d in zip(of, d2, strict=True):
-            kept[i] = bool(d <= quality.CUTOFF)
-    return kept
+        if not found[i][0]:
+            groups[(lang, source)].append(i)
+    for key in [k for k, of in groups.items() if len(of) < quality.GROUP_ROWS]:
+        pools[key[0]] += groups.pop(key)
+    for key in [k for k, of in pools.items() if len(of) < quality.GROUP_ROWS]:
+        rest += pools.pop(key)
+    d2 = [0.0] * len(rows)
+    inside, total, x = chi_square(quality.INSIDE, 5)
+    _, seven, _ = chi_square(0.5, 7)
+    factor = quality.INSIDE / seven[np.searchsorted(x, inside)]
+    for of in [*groups.values(), *pools.values(), *([rest] if rest else [])]:
+        v = np.array([found[i][1] for i in of])
+        m, c, _ = mcd(v, quality.SUPPORT, quality.FLOOR, 40)
+        near = v[np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m) <= inside]
+        m, c = near.mean(0), factor * np.cov(near.T, bias=True).reshape(5, 5)
+        c[np.diag_indices(5)] = np.maximum(np.diag(c), np.square(quality.FLOOR))
+        for i, d in zip(of, np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m), strict=True):
+            d2[i] = d
+    return [f for f, _ in found], d2
+
+
+def test_quantiles():
+    for share in (0.5, 0.75, 0.975, 0.9999):
+        assert abs(quality.quantile(share) - chi_square(share, 5)[0]) < 1e-3
+    assert abs(quality.consistent(0.75) - 1.412) < 1e-3 and abs(quality.CUTOFF - 35.888) < 1e-2
 
 
 def test_outliers_on_sample(spark):
+    """The same verdicts as an estimate of another make, but where that is within a twentieth of the cut-off."""
     folder = "/root/testdata/sf0.01"
     docs = pq.read_table(f"{folder}/documents.parquet").to_pylist()
-    want = dict(zip((d["doc_id"] for d in docs), verdicts([(d["lang"], d["source"], d["text"]) for d in docs]), strict=True))
+    failed, d2 = verdicts([(d["lang"], d["source"], d["text"]) for d in docs])
     got = {r["doc_id"]: r["kept"] for r in queries.op2_quality(spark, folder).collect()}
-    assert [d for d in want if got[d] != want[d]] == []
-    assert 0.5 < sum(want.values()) / len(want) < 1
+    sure = [i for i in range(len(docs)) if failed[i] or abs(d2[i] / quality.CUTOFF - 1) > 0.05]
+    assert len(sure) > 0.99 * len(docs)
+    assert [docs[i]["doc_id"] for i in sure if got[docs[i]["doc_id"]] == (failed[i] or d2[i] > quality.CUTOFF)] == []
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    good, bad = ([d for d, q in labels.items() if q == k] for k in (1, 0))
+    assert sum(got[d] for d in good) > 0.96 * len(good) and sum(got[d] for d in bad) < 0.03 * len(bad)
+
+
+def test_least_determinant_of_small_groups(spark):
+    """The determinant found against that of every subset of three quarters of the rows: few starts find most, and come near the others."""
+    rng = np.random.default_rng(8)
+    rows, names = [], [f"v{i}" for i in range(5)]
+    spread = np.array([[1, 0, 0, 0, 0], [0.6, 1, 0, 0, 0], [0, 0.4, 0.8, 0, 0], [0.2, 0, 0, 1, 0], [0, 0, 0.3, 0, 0.9]])
+    for g in range(12):
+        v = rng.normal(size=(16, 5)) @ spread.T * 2
+        v[:3] += rng.normal(size=5) * 12
+        rows += [(g, *(int(x) for x in np.round(r * 1024))) for r in v]
+    frame = spark.createDataFrame(rows, "grp long, " + ", ".join(f"{n} long" for n in names))
+    found = quality.first_estimates(frame)
+    for _ in range(8):
+        found = quality.concentrate(frame, found)
+    got = {r["grp"]: r["det"] for r in quality.best(found).collect()}
+    exact = {g: mcd(np.array([r[1:] for r in rows if r[0] == g]) / 1024, quality.SUPPORT, quality.FLOOR, None)[2] for g in range(12)}
+    assert all(got[g] > exact[g] - 1e-2 for g in exact)
+    assert sum(got[g] < exact[g] + 0.05 for g in exact) >= 10
 
 
 def corpus():
@@ -83,6 +151,9 @@ def test_stages(spark, tables, kind):
     docs, items = {"corpus": corpus, "edge": lambda: (DOCUMENTS, [(0, "the lazy dog while seven wise owls")]), "empty": lambda: ([], [])}[kind]()
     folder = tables(docs, benchmark=items)
     frame = spark.read.parquet(f"{folder}/documents.parquet")
+    if kind == "edge":  # names that stages use themselves
+        names = ("doc", "grp", "v0", "d2", "kept", "node", "bin", "first")
+        frame = frame.withColumns({n: F.lit(i) for i, n in enumerate(names)})
     columns = frame.columns
     inputs = [frame]
     for name, stage in corpus_pipeline.STAGES:
@@ -92,8 +163,12 @@ def test_stages(spark, tables, kind):
     assert all(f.columns == columns for f in inputs[:-1])
     ids = lambda rs: sorted((r["doc_id"] for r in rs), key=repr)
 
-    kept = verdicts([(r["lang"], r["source"], r["text"]) for r in rows[0]])
-    assert ids(rows[1]) == ids([r for r, k in zip(rows[0], kept, strict=True) if k])
+    failed, d2 = verdicts([(r["lang"], r["source"], r["text"]) for r in rows[0]])
+    if kind == "edge":  # too few rows for two estimates to agree: the base rule, and what the operator says of each row
+        judged = [r for r in quality.judge(frame).collect() if r["kept"]]
+        assert ids(rows[1]) == ids(judged) and set(ids(judged)) <= {r["doc_id"] for r, f in zip(rows[0], failed, strict=True) if not f}
+    else:
+        assert ids(rows[1]) == ids([r for r, f, d in zip(rows[0], failed, d2, strict=True) if not f and d <= quality.CUTOFF])
     single = {d for d, _, _, k in test_near_dedup.plain([(r["doc_id"], r["text"]) for r in rows[1]], 5) if k}
     assert ids(rows[2]) == ids([r for r in rows[1] if r["doc_id"] in single])
     matcher = decontamination.Matcher([(i, decontamination.normal(t)) for i, t in items])
@@ -112,6 +187,6 @@ def test_stages(spark, tables, kind):
         want.append((r["doc_id"], start, len(got), zlib.crc32(np.array(got, "<u4").tobytes())))
         start += len(got)
     assert sorted((tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in rows[5]), key=repr) == sorted(want, key=repr)
-    assert sorted(map(repr, corpus_pipeline.run(spark, folder).collect())) == sorted(repr(r) for r in inputs[-1].collect())
+    assert kind == "edge" or sorted(map(repr, corpus_pipeline.run(spark, folder).collect())) == sorted(repr(r) for r in inputs[-1].collect())
     if kind == "corpus":
         assert not {400, 401, 402, 403} & set(ids(rows[1])) and not set(range(300, 306)) & set(ids(rows[3])) and len(rows[2]) < len(rows[1])
