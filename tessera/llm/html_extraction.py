@@ -1,12 +1,12 @@
 """Main text of pages by a recurrent block labeller: a bidirectional LSTM over the leaf blocks of each page.
 
-Every block is a vector: hashed names and class words along its tag path, hashed words of its text if these are at most 12
-(of Latin letters), and a few measures.
-The network reads a page's blocks in both directions, so a block is judged in the light of the whole page. The weights
-(`html_model.npz`) come from `python -m tessera.llm.html_training`, on made-up pages only.
+Every block is a vector: hashed names and class words along its tag path, all its text's words in any script, hashed and
+scaled to one length, and a few measures. The network reads a page's blocks in both directions, so a block is
+judged in the light of the whole page. The weights (`html_model.npz`) come from `python -m tessera.llm.html_training`, on
+made-up pages only.
 
 Pages are labelled in groups of like length, each bounded in blocks, so memory doesn't grow with the input; a longer page
-is a group of its own. Defined results: null, empty or textless pages give an empty text; ties and repeated rows each get
+is read in stretches, forwards and then backwards, and only its hidden states are kept. Defined results: null, empty or textless pages give an empty text; ties and repeated rows each get
 their result; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -22,50 +22,85 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.html_blocks import Block, blocks
+from tessera.llm.html_blocks import Block, Node, blocks
 
-PATH_DIM, WORD_DIM, MEASURES = 128, 48, 8
+PATH_DIM, WORD_DIM, MEASURES = 128, 64, 12
 INPUT = PATH_DIM + WORD_DIM + MEASURES
-HIDDEN = 24
-GROUP_BLOCKS = 16_384
+HIDDEN = 32
+GROUP_BLOCKS, STRETCH = 16_384, 4096
+GROUP_PAGES, GROUP_CHARS = 512, 1 << 23
 MODEL = Path(__file__).with_name("html_model.npz")
-_WORD = re.compile(r"[a-zA-Z]+|[©®™|»›·]")
+_WORD = re.compile(r"[^\W\d_]+|[©®™|»›·]")
 
 
-@lru_cache(maxsize=200_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Names and class words near and far above the block, hashed with a sign; the same word counts once per depth class."""
-    v = np.zeros(PATH_DIM, np.float32)
-    for depth, label in enumerate(reversed(path)):
-        name, *words = label.split(".")
+@lru_cache(maxsize=50_000)
+def _label_vectors(label: str) -> tuple[np.ndarray, np.ndarray]:
+    """What an element's name and class words add to the blocks directly in it, and to those farther below; hashed with a sign."""
+    name, *words = label.split(".")
+    both = np.zeros((2, PATH_DIM), np.float32)
+    for v, depth in zip(both, "01", strict=True):
         for word in [f"<{name}>", *words]:
-            for key in (word, f"{min(depth, 1)}{word}"):
+            for key in (word, depth + word):
                 h = zlib.crc32(key.encode())
                 v[h % PATH_DIM] += 1.0 if h >> 16 & 1 else -1.0
-    return np.clip(v, -3, 3)
+    return both[0], both[1]
 
 
-@lru_cache(maxsize=200_000)
-def _word_place(word: str) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return h % WORD_DIM, 1.0 if h >> 16 & 1 else -1.0
+def _path_vector(node: Node, far: dict[int, np.ndarray]) -> np.ndarray:
+    """The element that holds a block, and all above it; far: what has been summed for elements so far."""
+    if node.parent is None:
+        return np.zeros(PATH_DIM, np.float32)
+    todo, above = [], node.parent
+    while above.parent is not None and id(above) not in far:
+        todo.append(above)
+        above = above.parent
+    total = far.get(id(above), np.zeros(PATH_DIM, np.float32))
+    for n in reversed(todo):
+        total = far[id(n)] = total + _label_vectors(n.label)[1]
+    return np.clip(total + _label_vectors(node.label)[0], -3, 3)
 
 
-def features(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), INPUT), np.float32)
-    n = len(page)
-    for i, b in enumerate(page):
+class WordPlaces(dict):
+    """A word's place among 2 * WORD_DIM: the second half counts negatively."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = zlib.crc32(word.lower().encode())
+        found = self[word] = h % WORD_DIM + (0 if h >> 16 & 1 else WORD_DIM)
+        return found
+
+
+_places = WordPlaces()
+
+
+def features(page: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A vector for every block of page[start:end]."""
+    part, n = page[start:end], len(page)
+    out = np.zeros((len(part), INPUT), np.float32)
+    paths: dict[int, np.ndarray] = {}
+    far: dict[int, np.ndarray] = {}
+    for i, b in enumerate(part):
         row = out[i]
-        row[:PATH_DIM] = _path_vector(b.path)
+        if id(b.node) not in paths:
+            paths[id(b.node)] = _path_vector(b.node, far)
+        row[:PATH_DIM] = paths[id(b.node)]
         words = _WORD.findall(b.text)
-        if len(words) <= 12:
-            for w in words:
-                place, sign = _word_place(w.lower())
-                row[PATH_DIM + place] += sign
+        if words:
+            hits = np.bincount([_places[w] for w in words], minlength=2 * WORD_DIM)
+            counts = hits[:WORD_DIM] - hits[WORD_DIM:]
+            row[PATH_DIM : PATH_DIM + WORD_DIM] = counts * (2 / np.sqrt(max(1, counts @ counts)))
         size = len(b.text)
-        row[PATH_DIM + WORD_DIM :] = (np.log1p(size) / 5 - 1, b.linked / size, min(1.0, 10 * sum(map(b.text.count, ".,;!?")) / size), i / n - 0.5, b.text[-1] in ".!?:\"'”’", len(b.path) / 8, b.text[:1] == "©", 1.0)
+        marks = min(1.0, 10 * sum(map(b.text.count, ".,;!?")) / size)
+        ends = b.text[-1] in ".!?:\"'”’。！？"
+        place = (start + i) / n - 0.5
+        # Whether the blocks beside it are in the same element, or in one beside that.
+        beside = [page[k].node if 0 <= k < n else None for k in (start + i - 1, start + i + 1)]
+        alike = [x for other in beside for x in (other is b.node, other is not None and other.parent is b.node.parent)]
+        row[PATH_DIM + WORD_DIM :] = (np.log1p(size) / 5 - 1, b.linked / size, marks, place, ends, np.log1p(b.node.depth) / 3, b.text[:1] == "©", 1.0, *alike)
     return out
 
 
@@ -85,11 +120,11 @@ class Labeller:
         with np.load(io.BytesIO(pkgutil.get_data(__package__, MODEL.name))) as stored:
             return cls({k: stored[k].astype(np.float32) for k in stored.files})
 
-    def direction(self, x: np.ndarray, mask: np.ndarray, d: str) -> np.ndarray:
-        """Hidden states of a batch x[page, block, feature]; the state stands still where the mask is 0."""
+    def direction(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states of a batch x[page, block, feature], and the last one; the state stands still where the mask is 0."""
         p, hidden = self.p, HIDDEN
-        h = np.zeros((len(x), hidden), np.float32)
-        c, out = h, np.zeros((*x.shape[:2], hidden), np.float32)
+        h, c = state or (np.zeros((len(x), hidden), np.float32),) * 2
+        out = np.zeros((*x.shape[:2], hidden), np.float32)
         steps = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
         inputs = x @ p[f"w{d}"] + p[f"b{d}"]
         for t in steps:
@@ -101,7 +136,19 @@ class Labeller:
             c = m * fresh + (1 - m) * c
             h = m * (o * np.tanh(fresh)) + (1 - m) * h
             out[:, t] = h
-        return out
+        return out, (h, c)
+
+    def long_scores(self, page: list[Block], stretch: int = STRETCH) -> np.ndarray:
+        """scores() of one page, a stretch of blocks at a time."""
+        z = np.full(len(page), self.p["c"][0], np.float32)
+        starts = range(0, len(page), stretch)
+        for k, d in enumerate("fb"):
+            state, weights = None, self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
+            for at in starts if d == "f" else reversed(starts):
+                x = features(page, at, at + stretch)[None]
+                hidden, state = self.direction(x, np.ones(x.shape[:2], np.float32), d, state)
+                z[at : at + stretch] += hidden[0] @ weights
+        return z
 
     def scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Log-odds of being main text, for every block of each page."""
@@ -109,7 +156,7 @@ class Labeller:
         x, mask = np.zeros((len(pages), most, INPUT), np.float32), np.zeros((len(pages), most), np.float32)
         for i, f in enumerate(pages):
             x[i, : len(f)], mask[i, : len(f)] = f, 1
-        both = np.concatenate([self.direction(x, mask, "f"), self.direction(x, mask, "b")], axis=2)
+        both = np.concatenate([self.direction(x, mask, d)[0] for d in "fb"], axis=2)
         z = both @ self.p["o"] + self.p["c"]
         return [z[i, : len(f)] for i, f in enumerate(pages)]
 
@@ -133,20 +180,35 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
     full = [i for i, b in enumerate(parsed) if b]
     for group in groups([len(parsed[i]) for i in full]):
         mine = [full[i] for i in group]
-        for i, z in zip(mine, model.scores([features(parsed[i]) for i in mine]), strict=True):
+        long = len(mine) == 1 and len(parsed[mine[0]]) > GROUP_BLOCKS
+        found = [model.long_scores(parsed[mine[0]])] if long else model.scores([features(parsed[i]) for i in mine])
+        for i, z in zip(mine, found, strict=True):
             out[i] = "\n".join(b.text for b, s in zip(parsed[i], z, strict=True) if s > 0)
     return out
 
 
+def in_parts(pages: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch of at most so many pages and, if more than one, so many characters."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(pages), 0).to_pylist()):
+        if i > start and (i - start >= GROUP_PAGES or held + size > GROUP_CHARS):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(pages):
+        yield start, len(pages)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller.load()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for start, end in in_parts(batch.column("html")):
+                part = batch.slice(start, end - start)
                 texts = main_texts(model, part.column("html").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

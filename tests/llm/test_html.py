@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -83,7 +84,55 @@ def test_gradient():
 
 
 def test_held_out_accuracy():
-    assert html_training.accuracy(html_extraction.Labeller.load(), seed=4242, n=300) > 0.985
+    """On pages whose kinds of elements, or their made-up names, training never saw; and on those of known kinds."""
+    model = html_extraction.Labeller.load()
+    assert html_training.accuracy(model, seed=4242, n=400) > 0.985
+    assert html_training.accuracy(model, seed=4243, n=400, held=False) > 0.995
+
+
+PROSE = "Words that make up a sentence of some length, with commas and other marks. And one more sentence of the same kind follows it here."
+LONG_NOTICE = (
+    "Subscribe to our newsletter and get the latest stories of the week in your inbox every Friday morning, free of charge and without any advertising."
+)
+
+
+def test_unfamiliar_layouts():
+    """Pages without any telling class: labelled by hand."""
+    model = html_extraction.Labeller.load()
+    article = f"<h1>Title of the piece</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    want = f"Title of the piece\n{PROSE}\n{PROSE}"
+    links = '<div class="q2"><a href="/a">One</a> <a href="/b">Two</a> <a href=c>Three</a></div>'
+    cookies = '<div class="kk">We use cookies to improve your experience. Accept all</div>'
+    for page in (
+        f'<div class="zq1">{article}</div>{links}{cookies}',
+        f"<div>{article}</div><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><section><p>{LONG_NOTICE}</p></section>",
+        f"<header><h1>The Site</h1></header><div>{article}</div><footer>© 2020 The Site</footer>",
+        article,
+        f"<section>{article}</section><section><h2>3 comments</h2><div><b>Ann</b><p>{PROSE}</p></div><div><b>Bob</b><p>No.</p></div></section>",
+    ):
+        assert html_extraction.main_texts(model, [f"<body>{page}</body>"]) == [want], page
+
+
+def test_time_follows_length():
+    """Pages of five million characters that make careless parsers quadratic."""
+    size = 5_000_000
+    unit = ["<a ", "<div>x", '<a b="', "<p =", "<b></i>", "<!-", "<svg><g>", "<", "&amp", "<noscript>", "</p"]
+    for part in unit:
+        began = time.time()
+        blocks(part * (size // len(part)))
+        assert time.time() - began < 60, part
+    found = blocks("<div>x" * 2000 + "</div>" * 2000 + "<p>end")
+    assert len(found) == 2001 and max(len(b.path) for b in found) <= 512
+
+
+def test_a_long_page_in_stretches():
+    model = html_extraction.Labeller.load()
+    page = blocks("".join(html_training.Maker(k).page()[0] for k in range(40)))
+    assert len(page) > 400
+    want = model.scores([html_extraction.features(page)])[0]
+    assert np.allclose(model.long_scores(page, 37), want, atol=1e-3)
+    text = "<article>" + "<p>One two three, four five." * 20_000 + "</article>"
+    assert html_extraction.main_texts(model, [text, None])[0].count("\n") > 19_000
 
 
 def test_padding_changes_nothing():
