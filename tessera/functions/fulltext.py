@@ -26,22 +26,125 @@ def keyword(c: Column) -> Column:
 
 
 def filename(c: Column) -> Column:
-    return F.array(F.lower(F.substring(c, 1, 2048)))
+    """One token, lower case, of any length."""
+    return F.array(F.lower(c))
 
 
 def _without_stops(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS))
 
 
+# Fixed values of the English stemming algorithm (Snowball): suffixes of each step and what they become, words with stems of their own.
+STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al",
+    "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful",
+    "lessli": "less", "li": "",
+}
+STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+OWN_STEMS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+KEPT_AFTER_PLURALS = "inning outing canning herring earring proceed exceed succeed".split()
+VOWEL, OTHER = "[aeiouy]", "[^aeiouy]"
+SHORT = f"(?:(?:^|{OTHER}){VOWEL}[^aeiouywxY]|^{VOWEL}{OTHER})$"
+
+
+def _stems(tokens: Column) -> Column:
+    """The English stems of tokens. A token goes through as a struct of word and regions r1, r2; every transform binds it for its step."""
+
+    def state(w: Column, x: Column | None = None, **more: Column) -> Column:
+        return F.struct(w.alias("w"), *[(more[k] if k in more else x[k]).alias(k) for k in ("r1", "r2", "t")])
+
+    def suffix(x: Column, endings) -> Column:
+        return F.regexp_extract(x["w"], f"({'|'.join(endings)})$", 1)
+
+    def without(x: Column, n) -> Column:
+        return F.substring(x["w"], F.lit(1), F.char_length(x["w"]) - (n if isinstance(n, int) else F.char_length(n)))
+
+    def inside(x: Column, end: Column, region: str) -> Column:
+        return (end != "") & (F.char_length(x["w"]) - F.char_length(end) >= x[region])
+
+    def regions(t: Column) -> Column:
+        w = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "^'", ""), "^y", "Y"), "(?<=[aeiouy])y", "Y")
+        return F.struct(w.alias("w"), t.alias("t"))
+
+    def first(x: Column) -> Column:
+        start = F.char_length(F.regexp_extract(x["w"], f"^(?:gener|commun|arsen|.*?{VOWEL}{OTHER})", 0))
+        return F.struct(x["w"].alias("w"), F.when(start > 0, start).otherwise(F.char_length(x["w"])).alias("r1"), x["t"].alias("t"))
+
+    def second(x: Column) -> Column:
+        rest = F.char_length(F.regexp_extract(F.substring(x["w"], x["r1"] + 1, F.char_length(x["w"])), f"^.*?{VOWEL}{OTHER}", 0))
+        return state(x["w"], x, r2=F.when(rest > 0, x["r1"] + rest).otherwise(F.char_length(x["w"])))
+
+    def step_0(x: Column) -> Column:
+        return state(F.regexp_replace(x["w"], "'(?:s'?)?$", ""), x)
+
+    def step_1a(x: Column) -> Column:
+        w, end = x["w"], suffix(x, ("sses", "ied", "ies", "us", "ss", "s"))
+        long = F.char_length(w) > 4
+        out = (
+            F.when(end == "sses", without(x, 2)).when(end.isin("ied", "ies"), F.when(long, without(x, 2)).otherwise(without(x, 1)))
+            .when((end == "s") & w.rlike(f"{VOWEL}.+s$"), without(x, 1)).otherwise(w)
+        )
+        return state(out, x)
+
+    def step_1b(x: Column) -> Column:
+        w, end = x["w"], suffix(x, ("eedly", "eed", "ingly", "edly", "ing", "ed"))
+        bare = without(x, end)
+        short = bare.rlike(SHORT) & (F.char_length(bare) <= x["r1"])
+        mended = (
+            F.when(bare.rlike("(?:at|bl|iz)$"), F.concat(bare, F.lit("e"))).when(bare.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(bare, F.lit(1), F.char_length(bare) - 1))
+            .when(short, F.concat(bare, F.lit("e"))).otherwise(bare)
+        )
+        eed = F.when(inside(x, end, "r1"), F.concat(bare, F.lit("ee"))).otherwise(w)
+        out = F.when(w.isin(KEPT_AFTER_PLURALS), w).when(end.isin("eed", "eedly"), eed).when((end != "") & bare.rlike(VOWEL), mended).otherwise(w)
+        return state(out, x)
+
+    def step_1c(x: Column) -> Column:
+        return state(F.when(x["w"].isin(KEPT_AFTER_PLURALS), x["w"]).otherwise(F.regexp_replace(x["w"], f"(?<=.{OTHER})[yY]$", "i")), x)
+
+    def mapped(x: Column, table: dict[str, str], tests: dict) -> Column:
+        end = suffix(x, table)
+        out = F.lit(None).cast("string")
+        for s, to in table.items():
+            allowed = tests.get(s, lambda bare: F.lit(True))
+            out = F.when(end == s, F.when(inside(x, end, "r1") & allowed(without(x, len(s))), F.concat(without(x, len(s)), F.lit(to)))).otherwise(out)
+        return state(F.coalesce(out, x["w"]), x)
+
+    def step_2(x: Column) -> Column:
+        return mapped(x, STEP_2, {"ogi": lambda bare: bare.rlike("l$"), "li": lambda bare: bare.rlike("[cdeghkmnrt]$")})
+
+    def step_3(x: Column) -> Column:
+        return mapped(x, STEP_3, {"ative": lambda bare: F.char_length(bare) >= x["r2"]})
+
+    def step_4(x: Column) -> Column:
+        end = suffix(x, STEP_4)
+        go = inside(x, end, "r2") & ((end != "ion") | without(x, 3).rlike("[st]$"))
+        return state(F.when(go, without(x, end)).otherwise(x["w"]), x)
+
+    def step_5(x: Column) -> Column:
+        w, end = x["w"], F.substring(x["w"], -1, 1)
+        e = (end == "e") & (inside(x, end, "r2") | (inside(x, end, "r1") & ~without(x, 1).rlike(SHORT)))
+        ll = (end == "l") & inside(x, end, "r2") & w.rlike("ll$")
+        return state(F.when(e | ll, without(x, 1)).otherwise(w), x)
+
+    def finish(x: Column) -> Column:
+        out = F.when(F.char_length(x["t"]) <= 2, x["t"]).otherwise(F.regexp_replace(x["w"], "Y", "y"))
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in OWN_STEMS.items() for v in pair]), x["t"]), out)
+
+    for step in (regions, first, second, step_0, step_1a, step_1b, step_1c, step_2, step_3, step_4, step_5, finish):
+        tokens = F.transform(tokens, step)
+    return tokens
+
+
 def stem(t: Column) -> Column:
-    """Inflections of English words taken off: plurals, -ed and -ing with a vowel before them, -ly, and a final y as i."""
-    for pattern, to in ((r"(ss|i)es$", "$1"), (r"ies$", "i"), (r"(?<=[^su])s$", ""), (r"(?<=[aeiouy].{0,20})(ingly|edly|ing|ed)$", ""), (r"(at|bl|iz)$", "$1e"), (r"([bdfgmnprt])\1$", "$1"), (r"(?<=.[^aeiou])y$", "i"), (r"(ational|ation|ator)$", "ate"), (r"(ousness|iveness|fulness)$", ""), (r"(li|ly)$", "")):
-        t = F.regexp_replace(t, pattern, to)
-    return t
+    return F.get(_stems(F.array(t)), 0)
 
 
 def stemmer(c: Column) -> Column:
-    return F.transform(_without_stops(standard(c)), stem)
+    return _stems(_without_stops(standard(c)))
 
 
 def ngram(c: Column, n: int = 3) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,20 +52,49 @@ def in_polygon(lat: Column, lon: Column, points: list[tuple[float, float]]) -> C
     return crossings % 2 == 1
 
 
-# The digits of a geohash.
+# The digits of a geohash; of the geo commands, the latitudes that count and the bits of each coordinate.
 DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
+MOST_LATITUDE, BITS = 85.05112878, 26
 
 
-def geohash(lat: Column, lon: Column, length: int = 11) -> Column:
-    """Base-32 geohash: bits of longitude and latitude by turns, five to a digit."""
-    n_lon, n_lat = (5 * length + 1) // 2, 5 * length // 2
-    cell = lambda x, low, span, n: F.least(F.floor((x - low) / span * float(1 << n)), F.lit((1 << n) - 1)).cast("long")
-    x, y = cell(lon, -180.0, 360.0, n_lon), cell(lat, -90.0, 180.0, n_lat)
-    digits = []
-    for d in range(length):
-        value = F.lit(0).cast("long")
-        for k in range(5 * d, 5 * d + 5):
-            source, at = (x, n_lon - 1 - k // 2) if k % 2 == 0 else (y, n_lat - 1 - k // 2)
-            value = value * 2 + F.shiftright(source, at).bitwiseAND(F.lit(1))
-        digits.append(F.substring(F.lit(DIGITS), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*digits)
+def _cell(x: Column, most: float, bits: int) -> Column:
+    """The place of x among 2**bits equal cells from -most to most; beyond them the first or last."""
+    inside = F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+    return F.least(F.floor((inside + most) / (2 * most) * float(1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with value made once for all its uses."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _bit(n: Column, at: int, to: int) -> Column:
+    return F.shiftleft(F.shiftright(n, at).bitwiseAND(F.lit(1).cast("long")), to)
+
+
+def geo_score(lat: Column, lon: Column) -> Column:
+    """The 52-bit number that the geo commands store for a point: bits of longitude and latitude by turns."""
+    cells = F.struct(_cell(lon, 180.0, BITS).alias("x"), _cell(lat, MOST_LATITUDE, BITS).alias("y"))
+    turns = lambda c: reduce(lambda a, b: a.bitwiseOR(b), [_bit(c[n], k, 2 * k + odd) for k in range(BITS) for n, odd in (("x", 1), ("y", 0))])
+    return _bound(cells, turns)
+
+
+def geo_point(score: Column) -> Column:
+    """The longitude and latitude of a stored number: the middle of its cell."""
+
+    def middle(n: Column) -> Column:
+        x, y = (reduce(lambda a, b: a.bitwiseOR(b), [_bit(n, 2 * k + odd, k) for k in range(BITS)]) for odd in (1, 0))
+        x, y = ((c + 0.5) / float(1 << BITS) for c in (x, y))
+        return F.struct((x * 360.0 - 180.0).alias("longitude"), (y * (2 * MOST_LATITUDE) - MOST_LATITUDE).alias("latitude"))
+
+    return _bound(score, middle)
+
+
+def geohash(lat: Column, lon: Column) -> Column:
+    """The eleven digits of GEOHASH: the stored 52 bits and three zeros, five to a digit."""
+
+    def digits(n: Column) -> Column:
+        places = [F.shiftright(n, 47 - 5 * i) if i < 10 else F.shiftleft(n, 3) for i in range(11)]
+        return F.concat(*[F.substring(F.lit(DIGITS), (p.bitwiseAND(F.lit(31).cast("long")) + 1).cast("int"), F.lit(1)) for p in places])
+
+    return _bound(geo_score(lat, lon), digits)

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.spatial import COMMAND_RADIUS, degrees, geohash, haversine, unit
+from tessera.functions.spatial import COMMAND_RADIUS, MOST_LATITUDE, degrees, geo_point, geo_score, geohash, haversine, unit
 
 
-def position(lon: Column, lat: Column) -> Column:
-    """GEOADD and GEOPOS: the stored point; out of range is an error."""
-    inside = lon.between(-180, 180) & lat.between(-85.05112878, 85.05112878)
-    point = F.struct(lon.alias("longitude"), lat.alias("latitude"))
-    return F.when(inside, point).otherwise(F.when(F.assert_true(inside, "invalid longitude,latitude pair").isNull(), point))
+def add(lon: Column, lat: Column) -> Column:
+    """GEOADD: the score that stands for the point in a sorted set; out of range is an error."""
+    inside = lon.between(-180, 180) & lat.between(-MOST_LATITUDE, MOST_LATITUDE)
+    score = geo_score(lat, lon)
+    return F.when(inside, score).otherwise(F.when(F.assert_true(inside, "invalid longitude,latitude pair").isNull(), score))
+
+
+def position(score: Column) -> Column:
+    """GEOPOS: the point of a score."""
+    return geo_point(score)
+
+
+def distance_of(a: Column, b: Column, in_unit: str = "m") -> Column:
+    """GEODIST between two scores."""
+    p, q = geo_point(a), geo_point(b)
+    return distance(p["longitude"], p["latitude"], q["longitude"], q["latitude"], in_unit)
 
 
 def distance(lon1: Column, lat1: Column, lon2, lat2, in_unit: str = "m") -> Column:
@@ -20,7 +31,7 @@ def distance(lon1: Column, lat1: Column, lon2, lat2, in_unit: str = "m") -> Colu
 
 
 def hash_of(lon: Column, lat: Column) -> Column:
-    return geohash(lat, lon, 11)
+    return geohash(lat, lon)
 
 
 def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, width: float | None = None, height: float | None = None, in_unit: str = "m", count: int | None = None, descending: bool | None = None, x: str = "longitude", y: str = "latitude") -> DataFrame:

@@ -113,7 +113,7 @@ class MISSING:
 
 
 def _rewrite(doc: Column, path: str, change, create: bool = False) -> Column:
-
+    """The document with a change made; null stays null, and a text that is no JSON stays as it is."""
     way = steps(path)
 
     @F.pandas_udf("string")
@@ -121,7 +121,11 @@ def _rewrite(doc: Column, path: str, change, create: bool = False) -> Column:
         def one(text):
             if text is None:
                 return None
-            out = edit(json.loads(text), way, change, create)
+            try:
+                read = json.loads(text)
+            except ValueError:
+                return text
+            out = edit(read, way, change, create)
             return None if out is DELETE else json.dumps(out, separators=(",", ":"), ensure_ascii=False)
 
         return docs.map(one)

@@ -81,16 +81,19 @@ class Keyspace:
 
     # writes
     def set(self, entries, mode: str = "always") -> Keyspace:
-        """SET and MSET; mode nx keeps what is there, xx changes only that."""
+        """SET and MSET; mode nx keeps what is there, xx changes only that. Of entries with one key that of the largest value counts,
+        since rows have no order; name an order column `_at` in entries to have the last."""
         new = self._rows(entries)
         tagged = self.df.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
         whole = Window.partitionBy(self.key)
         first = mode == "nx"
-        order = whole.orderBy(F.col("_turn").asc() if first else F.col("_turn").desc())
+        if "_at" not in tagged.columns:
+            tagged = tagged.withColumn("_at", F.lit(0))
+        order = whole.orderBy(F.col("_turn").asc() if first else F.col("_turn").desc(), F.desc_nulls_last("_at"), F.desc(self.value))
         kept = tagged.withColumn("_old", F.min("_turn").over(whole)).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
         if mode == "xx":
             kept = kept.filter("_old = 0")
-        return self._like(kept.drop("_turn", "_old", "_rank"))
+        return self._like(kept.drop("_turn", "_old", "_rank", "_at"))
 
     def setnx(self, entries) -> Keyspace:
         return self.set(entries, "nx")
@@ -115,7 +118,9 @@ class Keyspace:
         return self.get(key), self.set({key: value})
 
     def rename(self, old, new, only_free: bool = False) -> Keyspace:
-        """RENAME; with only_free, RENAMENX."""
+        """RENAME; with only_free, RENAMENX. A key that doesn't exist is an error, as in the command."""
+        if not self.df.filter(F.col(self.key) == old).limit(1).count():
+            raise KeyError(f"no such key: {old!r}")
         if only_free and self.df.filter(F.col(self.key) == new).limit(1).count():
             return self
         rest = self.df if old == new else self.df.filter(F.col(self.key) != new)

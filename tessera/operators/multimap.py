@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,44 @@ class Multimap:
         return self.df.agg(F.count("*").alias("n"))
 
 
-def counter_values(deltas: DataFrame, counter: str, delta: str, initial: int = 0, lower: int | None = None, upper: int | None = None) -> DataFrame:
-    """Values of counters after all deltas; bounded ones are held within their bounds."""
-    value = F.sum(delta) + initial
-    value = value if lower is None else F.greatest(value, F.lit(lower))
-    value = value if upper is None else F.least(value, F.lit(upper))
-    return deltas.groupBy(counter).agg(value.cast("long").alias("value"))
+def counter_values(deltas: DataFrame, counter: str, delta: str, initial: int = 0, lower: int | None = None, upper: int | None = None, order: str | None = None) -> DataFrame:
+    """Values of counters after all deltas. A bounded counter is held at its bounds after every delta, in the order of a column.
+
+    A stretch of deltas takes v to min(max(v + a, lo), hi), whatever v is: so stretches are folded where they lie after a range
+    partitioning by counter and order, which parts a hot counter, and only (a, lo, hi) of each stretch meet.
+    """
+    if lower is None and upper is None:
+        return deltas.groupBy(counter).agg((F.sum(delta) + initial).cast("long").alias("value"))
+    if order is None:
+        raise ValueError("a bounded counter needs the order of its deltas")
+    low, high = (-(1 << 62) if lower is None else lower), ((1 << 62) if upper is None else upper)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, at = None, [], 0
+        state = (0, low, high)
+        for frame in frames:
+            for k, d in zip(frame[counter].tolist(), frame[delta].tolist(), strict=True):
+                if k != held:
+                    if at:
+                        rows.append((held, at, *state))
+                    held, state, at = k, (0, low, high), at + 1
+                a, lo, hi = state
+                state = (a + d, min(max(lo + d, low), high), min(max(hi + d, low), high))
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if at:
+            rows.append((held, at, *state))
+        yield pd.DataFrame(rows, columns=names)
+
+    names = [counter, "at", "a", "lo", "hi"]
+    kind = deltas.schema[counter].dataType.simpleString()
+    rows = deltas.where(F.col(counter).isNotNull()).select(counter, F.coalesce(F.col(delta).cast("long"), F.lit(0)).alias(delta), order)
+    ranged = rows.repartitionByRange(counter, order).sortWithinPartitions(counter, order).select(counter, delta)
+    folded = ranged.mapInPandas(fold, f"{counter} {kind}, at long, a long, lo long, hi long").withColumn("part", F.spark_partition_id())
+    parts = folded.groupBy(counter).agg(F.array_sort(F.collect_list(F.struct("part", "at", "a", "lo", "hi"))).alias("parts"))
+    step = lambda v, p: F.least(F.greatest(v + p["a"], p["lo"]), p["hi"])
+    return parts.select(counter, F.aggregate("parts", F.lit(initial).cast("long"), step).alias("value"))
 
 
 def compare_and_swap(value: Column, expected: int, new: int) -> Column:

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 # HyperLogLog
@@ -47,6 +49,21 @@ def topk_query(sketches: DataFrame, k: int, items: list) -> DataFrame:
     return wanted.join(listed, "item", "left").select("item", F.col("count").isNotNull().alias("listed"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def topk_info(sketches: DataFrame, k: int) -> DataFrame:
+    """TOPK.INFO: how many items are listed for a k, and the sum of their counts."""
+    rest = [c for c in sketches.columns if c != "sketch"]
+    return topk_list(sketches, k).groupBy(*rest).agg(F.lit(k).alias("k"), F.count("*").alias("items"), F.sum("count").alias("total"))
+
+
+def topk_incr_by(df: DataFrame, item: str, by: str, *keys: str, tracked: int = 10_000) -> DataFrame:
+    """TOPK.INCRBY: increments are summed by item first, and the sketch keeps the items of the largest sums."""
+    sums = df.groupBy(*keys, item).agg(F.sum(by).alias("count"))
+    rank = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("count"), item)) if keys else None
+    if rank is None:
+        return sums.orderBy(F.desc("count"), item).limit(tracked).withColumnRenamed(item, "item")
+    return sums.withColumn("_rank", rank).where(F.col("_rank") <= tracked).drop("_rank").withColumnRenamed(item, "item")
+
+
 def topk_exact(df: DataFrame, item: str, k: int) -> DataFrame:
     return df.groupBy(item).agg(F.count("*").alias("count")).orderBy(F.desc("count"), item).limit(k)
 
@@ -94,24 +111,31 @@ class CountMin:
         return self.merge(rows.mapInPandas(partial, "counters array<long>, total long"))
 
     def merge(self, sketches: DataFrame, weight: Column | None = None) -> DataFrame:
-        """Cell by cell sums, weighted: CMS.MERGE."""
+        """Cell by cell sums, weighted: CMS.MERGE. The total goes along as one more cell."""
         w = weight if weight is not None else F.lit(1)
-        cells = sketches.select(F.posexplode("counters").alias("i", "c"), w.alias("w"))
-        summed = cells.groupBy("i").agg(F.sum(F.col("c") * F.col("w")).alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("counters"))
-        return summed.crossJoin(F.broadcast(sketches.agg(F.sum(F.col("total") * w).alias("total"))))  # one row beside one row
+        cells = sketches.select(F.posexplode(F.concat(F.array("total"), "counters")).alias("i", "c"), w.alias("w"))
+        whole = _in_order(cells.groupBy("i").agg(F.sum(F.col("c") * F.col("w")).cast("long").alias("c")))
+        return whole.select(F.slice("c", 2, self.width * self.depth).alias("counters"), F.get("c", 0).alias("total"))
 
     def query(self, sketch: DataFrame, items: DataFrame, item: str) -> DataFrame:
-        """Estimates for items; the sketch is one row of fixed size, broadcast."""
-        me = self
-        with_hashes = items.select(item, *hash_pair(F.col(item))).crossJoin(F.broadcast(sketch.select("counters")))
+        """Estimates for items. The sketch is one row of a size that its parameters fix; it is read here and broadcast."""
+        me, row = self, sketch.select("counters").first()
+        held = items.sparkSession.sparkContext.broadcast(np.asarray(row[0], np.int64))
+
         @F.pandas_udf("long")
-        def least(h1: pd.Series, h2: pd.Series, counters: pd.Series) -> pd.Series:
-            if not len(h1):
-                return pd.Series([], dtype="int64")
-            table = np.asarray(counters.iloc[0])
-            return pd.Series(table[me.cells(_u(h1), _u(h2))].min(0))
+        def least(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            return pd.Series(held.value[me.cells(_u(h1), _u(h2))].min(0))
+
+        return items.select(item, least(*hash_pair(F.col(item))).alias("estimate"))
+
+    def info(self, sketch: DataFrame) -> DataFrame:
+        """CMS.INFO: width, depth and the sum of all increments."""
+        return sketch.select(F.lit(self.width).alias("width"), F.lit(self.depth).alias("depth"), F.col("total").alias("count"))
+
 
-        return with_hashes.select(item, least("_h1", "_h2", "counters").alias("estimate"))
+def _in_order(cells: DataFrame) -> DataFrame:
+    """Rows (i, c) as one array c in order of i; as long as a sketch's parameters say."""
+    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
 
 
 class Bloom:
@@ -127,42 +151,37 @@ class Bloom:
             return ((h1[None, :] + np.arange(self.probes, dtype=np.uint64)[:, None] * (h2[None, :] | np.uint64(1))) % np.uint64(self.bits)).astype(np.int64)
 
     def build(self, df: DataFrame, item: str) -> DataFrame:
+        """One row: the filter as 64-bit words."""
         me = self
 
         def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bits = np.zeros(me.bits, bool)
             for f in frames:
                 bits[me.places(_u(f["_h1"]), _u(f["_h2"])).ravel()] = True
-            yield pd.DataFrame({"one": [1], "filter": [np.packbits(bits).tobytes()]})
+            yield pd.DataFrame({"filter": [np.packbits(bits, bitorder="little").view(np.int64).tolist()]})
 
-        return self.merge(df.where(F.col(item).isNotNull()).select(*hash_pair(F.col(item))).mapInPandas(partial, "one int, filter binary"))
+        return self.merge(df.where(F.col(item).isNotNull()).select(*hash_pair(F.col(item))).mapInPandas(partial, "filter array<long>"))
 
     def merge(self, filters: DataFrame) -> DataFrame:
-        def union(frame: pd.DataFrame) -> pd.DataFrame:
-            out = np.zeros(0, np.uint8)
-            for f in frame["filter"]:
-                b = np.frombuffer(f, np.uint8)
-                out = b.copy() if not len(out) else out | b
-            return pd.DataFrame({"filter": [out.tobytes()]})
-
-        return filters.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(union, "filter binary")
+        """The union, word by word, so that no task holds all filters."""
+        words = filters.select(F.posexplode("filter").alias("i", "c"))
+        return _in_order(words.groupBy("i").agg(F.bit_or("c").alias("c"))).withColumnRenamed("c", "filter")
 
     def contains(self, bloom: DataFrame, items: DataFrame, item: str) -> DataFrame:
-        me = self
-        rows = items.select(item, *hash_pair(F.col(item))).crossJoin(F.broadcast(bloom.select("filter")))  # one row of fixed size
+        """found for every item. The filter is one row of a size that its parameters fix; it is read here and broadcast."""
+        me, row = self, bloom.select("filter").first()
+        held = items.sparkSession.sparkContext.broadcast(np.asarray(row[0], np.int64).view(np.uint8))
 
         @F.pandas_udf("boolean")
-        def test(h1: pd.Series, h2: pd.Series, f: pd.Series) -> pd.Series:
-            if not len(h1):
-                return pd.Series([], dtype=bool)
-            bits = np.unpackbits(np.frombuffer(f.iloc[0], np.uint8)).astype(bool)
-            return pd.Series(bits[me.places(_u(h1), _u(h2))].all(0))
+        def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            places = me.places(_u(h1), _u(h2))
+            return pd.Series((held.value[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool).all(0))
 
-        return rows.select(item, test("_h1", "_h2", "filter").alias("found"))
+        return items.select(item, test(*hash_pair(F.col(item))).alias("found"))
 
     def card(self, bloom: DataFrame) -> DataFrame:
         """The number of items by the share of set bits."""
-        ones = F.aggregate(F.split(F.hex("filter"), ""), F.lit(0), lambda s, x: s + F.coalesce(F.bit_count(F.conv(x, 16, 10).cast("int")), F.lit(0)))
+        ones = F.aggregate("filter", F.lit(0), lambda n, word: n + F.bit_count(word))
         return bloom.select(F.round(-F.lit(self.bits / self.probes) * F.log(1 - ones / F.lit(self.bits))).cast("long").alias("n"))
 
     def info(self) -> dict:
@@ -176,6 +195,8 @@ class Cuckoo:
     buckets (CF.RESERVE's EXPANSION), so no item is ever lost; a filter is its tables one after the other.
     """
 
+    SHARD_ITEMS, PROBED = 1_000_000, 100_000
+
     def __init__(self, capacity: int, bucket: int = 4, max_moves: int = 500, expansion: int = 2):
         if expansion < 1 or expansion & (expansion - 1):
             raise ValueError("expansion must be a power of two")
@@ -235,9 +256,14 @@ class Cuckoo:
             at += size
         return out
 
-    def count(self, table: np.ndarray, h1: int, h2: int) -> int:
-        mark, a, b = self._place(table, h1, h2)
-        return int((table[a] == mark).sum() + ((table[b] == mark).sum() if a != b else 0))
+    def count(self, table: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """How many marks in a table match each of many items."""
+        mark = (h2 & np.uint64(0xFFFF)).astype(np.int64)
+        mark[mark == 0] = 1
+        first = (h1 % np.uint64(len(table))).astype(np.int64)
+        second = first ^ ((mark * 0x5BD1E995) & (len(table) - 1))
+        here = (table[first] == mark[:, None]).sum(1)
+        return here + np.where(first != second, (table[second] == mark[:, None]).sum(1), 0)
 
     def delete(self, table: np.ndarray, h1: int, h2: int) -> bool:
         mark, a, b = self._place(table, h1, h2)
@@ -249,29 +275,86 @@ class Cuckoo:
         return False
 
     def build(self, df: DataFrame, item: str, key: str) -> DataFrame:
-        """A filter for each key; distinct items, so pre-aggregated before the shuffle. None is rejected, whatever their number."""
+        """Filters of the distinct items of each key: (key, shard, shards, filter), a shard for every so many items, so that no
+        key has to fit into one task. No item is rejected, whatever their number."""
         me = self
+        rows = df.where(F.col(item).isNotNull()).select(key, item).distinct()
+        counts = rows.groupBy(key).agg(F.ceil(F.count("*") / self.SHARD_ITEMS).cast("int").alias("shards"))
+        rows = rows.join(counts, key).select(key, "shards", *hash_pair(F.col(item))).withColumn("shard", self._shard())
 
         def fill(frame: pd.DataFrame) -> pd.DataFrame:
             tables: list[np.ndarray] = []
             for h1, h2 in zip(_u(frame["_h1"]).tolist(), _u(frame["_h2"]).tolist(), strict=True):
                 me.add(tables, h1, h2)
-            return pd.DataFrame({key: [frame[key].iloc[0]], "filter": [b"".join(t.tobytes() for t in tables)], "rejected": [0]})
+            first = {c: [frame[c].iloc[0]] for c in (key, "shard", "shards")}
+            return pd.DataFrame(first | {"filter": [b"".join(t.tobytes() for t in tables)]})
 
-        rows = df.where(F.col(item).isNotNull()).select(key, item).distinct().select(key, *hash_pair(F.col(item)))
-        return rows.groupBy(key).applyInPandas(fill, f"{key} {df.schema[key].dataType.simpleString()}, filter binary, rejected int")
+        kind = df.schema[key].dataType.simpleString()
+        return rows.groupBy(key, "shard").applyInPandas(fill, f"{key} {kind}, shard int, shards int, filter binary")
+
+    def _shard(self) -> Column:
+        """The shard of an item, by bits that its place in a table doesn't use."""
+        return F.pmod(F.shiftrightunsigned("_h2", 20), F.col("shards")).cast("int")
+
+    def change(self, filters: DataFrame, items: DataFrame, item: str, key: str, op: str) -> DataFrame:
+        """The filters after items (key, item) are added, added if absent (addnx: CF.ADDNX and INSERTNX), or deleted (del: CF.DEL);
+        applied in order of their hashes. Items of keys without a filter open one, but for del."""
+        me = self
+        shards = filters.select(key, "shards").distinct()
+        rows = items.where(F.col(item).isNotNull()).select(key, *hash_pair(F.col(item))).join(shards, key, "left")
+        rows = rows.withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", self._shard())
+
+        def apply(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            tables = [t.copy() for t in me.tables(old["filter"].iloc[0])] if len(old) else []
+            new = new.sort_values(["_h1", "_h2"])
+            for h1, h2 in zip(_u(new["_h1"]).tolist(), _u(new["_h2"]).tolist(), strict=True):
+                if op == "del":
+                    any(me.delete(t, h1, h2) for t in reversed(tables))
+                elif op == "add" or not any(me.count(t, np.array([h1], np.uint64), np.array([h2], np.uint64))[0] for t in tables):
+                    me.add(tables, h1, h2)
+            named = old if len(old) else new
+            if not tables:
+                return pd.DataFrame({key: [], "shard": [], "shards": [], "filter": []})
+            return pd.DataFrame({c: [named[c].iloc[0]] for c in (key, "shard", "shards")} | {"filter": [b"".join(t.tobytes() for t in tables)]})
+
+        schema = f"{key} {filters.schema[key].dataType.simpleString()}, shard int, shards int, filter binary"
+        return filters.groupBy(key, "shard").cogroup(rows.groupBy(key, "shard")).applyInPandas(apply, schema)
 
     def contains(self, filters: DataFrame, items: DataFrame, item: str, key: str) -> DataFrame:
-        """counts: how many fingerprints match (0: surely absent)."""
+        """count: how many marks match (0: surely absent). A filter goes once to every block of PROBED items, not to each."""
+        me, kind = self, items.schema[item].dataType.simpleString()
+        rows = items.select(key, item, *hash_pair(F.col(item))).join(filters.select(key, "shards").distinct(), key)
+        rows = rows.withColumn("shard", self._shard()).withColumn("block", F.lit(0))
+        blocks = rows.groupBy(key, "shard").agg(F.ceil(F.count("*") / self.PROBED).cast("int").alias("blocks"))
+        rows = rows.join(blocks, [key, "shard"]).withColumn("block", F.pmod("_h1", F.col("blocks")).cast("int"))
+        held = filters.join(blocks, [key, "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = rows.select(key, "shard", "block", item, "_h1", "_h2").unionByName(held.select(key, "shard", "block", "filter"), allowMissingColumns=True)
+        both = both.repartition(key, "shard", "block").sortWithinPartitions(key, "shard", "block", F.desc_nulls_last("filter"))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables: list[np.ndarray] = []
+            for batch in batches:
+                held = batch.column("filter")
+                starts = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                    if a < b and held[a].is_valid:
+                        tables, a = me.tables(held[a].as_py()), a + 1
+                    if a < b:
+                        part = batch.slice(a, b - a)
+                        h1, h2 = (part.column(c).to_numpy().view(np.uint64) for c in ("_h1", "_h2"))
+                        hits = pa.array(sum(me.count(t, h1, h2) for t in tables), pa.int32())
+                        yield pa.RecordBatch.from_arrays([part.column(key), part.column(item), hits], names=[key, item, "count"])
+
+        return both.mapInArrow(probe, f"{key} {items.schema[key].dataType.simpleString()}, {item} {kind}, count int")
+
+    def info(self, filters: DataFrame, key: str) -> DataFrame:
+        """CF.INFO: of each key the buckets, the tables, the marks held and the bucket size."""
         me = self
 
-        @F.pandas_udf("int")
-        def counts(h1: pd.Series, h2: pd.Series, f: pd.Series) -> pd.Series:
-            out, last, tables = [], None, []
-            for a, b, data in zip(_u(h1).tolist(), _u(h2).tolist(), f, strict=True):
-                if data is not last:
-                    last, tables = data, me.tables(data)
-                out.append(sum(me.count(t, a, b) for t in tables))
-            return pd.Series(out, dtype="int32")
+        @F.pandas_udf("struct<buckets long, tables int, items long>")
+        def measure(data: pd.Series) -> pd.DataFrame:
+            found = [me.tables(d) for d in data]
+            return pd.DataFrame({"buckets": [sum(map(len, ts)) for ts in found], "tables": [len(ts) for ts in found], "items": [int(sum((t != 0).sum() for t in ts)) for ts in found]})
 
-        return items.select(key, item, *hash_pair(F.col(item))).join(filters, key).select(key, item, counts("_h1", "_h2", "filter").alias("count"))
+        sums = [F.sum(f"m.{c}").cast("long").alias(c) for c in ("buckets", "tables", "items")]
+        return filters.select(key, measure("filter").alias("m")).groupBy(key).agg(*sums).withColumn("bucket_size", F.lit(self.bucket))

@@ -1,7 +1,8 @@
 """Sorted sets as DataFrames of (member, score), or (key, member, score) for many of them, ordered by score, then member.
 
 Ranks of many sets are windows over the key. The rank of one member is a count of the rows before it, not a global
-sort, and a slice of one set is a top-k; only `ranked` on a single set numbers all its rows in one task.
+sort, and a slice of one set is a top-k; `ranked` on a single set numbers rows within ranges and adds the rows of the
+ranges before.
 """
 
 from __future__ import annotations
@@ -69,8 +70,21 @@ class SortedSet:
         return wanted.join(self.df, self.member, "left")
 
     def ranked(self, reverse: bool = False) -> DataFrame:
-        """Every row with its 0-based rank in its set."""
-        return self.df.withColumn("rank", F.row_number().over(Window.partitionBy(*(self.key or [F.lit(0)])).orderBy(*self._order(reverse))) - 1)
+        """Every row with its 0-based rank in its set. A single set is dealt into ranges by its order; each range is numbered alone,
+        and its start is the sum of the sizes of those before, of which there are as many as partitions."""
+        order = self._order(reverse)
+        if self.key:
+            return self.df.withColumn("rank", F.row_number().over(Window.partitionBy(*self.key).orderBy(*order)) - 1)
+        # One quantile pass; the bounds are literals then, so both uses of them agree.
+        parts = max(1, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        scores = self.df.agg(F.percentile_approx(self.score, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+        bounds = sorted(set(scores or []))
+        at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(self.score) > b)) if bounds else F.lit(0)
+        ranged = self.df.withColumn("_part", -at if reverse else at)
+        sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+        numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+        return numbered.join(F.broadcast(starts), "_part").select(*self.df.columns, (F.col("_at") + F.col("_start")).alias("rank"))
 
     def rank(self, member, reverse: bool = False) -> DataFrame:
         """ZRANK of one member: the number of rows before it."""

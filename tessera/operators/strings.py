@@ -54,7 +54,7 @@ def strlen(value: Column) -> Column:
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """The longest common subsequence, by dynamic programming in Arrow batches; ties prefer the later match."""
+    """The longest common subsequence, in Arrow batches; of several, the one whose elements stand last in b."""
 
     @F.pandas_udf("string")
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -63,17 +63,28 @@ def lcs(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def lcs_len(a: Column, b: Column) -> Column:
+    return F.char_length(lcs(a, b))
+
+
 def _lcs(x: str, y: str) -> str:
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, c in enumerate(x):
-        for j, d in enumerate(y):
-            best[i + 1][j + 1] = best[i][j] + 1 if c == d else max(best[i][j + 1], best[i + 1][j])
+    """A row of the table is one integer: bit j is set where the length grows at y[j]; so a row takes a few operations."""
+    masks: dict[str, int] = {}
+    for j, d in enumerate(y):
+        masks[d] = masks.get(d, 0) | 1 << j
+    whole = (1 << len(y)) - 1
+    rest, grows = whole, [0]
+    for c in x:
+        match = rest & masks.get(c, 0)
+        rest = (rest + match | rest - match) & whole
+        grows.append(whole & ~rest)
+    size = lambda i, j: (grows[i] & (1 << j) - 1).bit_count()
     out, i, j = [], len(x), len(y)
     while i and j:
         if x[i - 1] == y[j - 1]:
             out.append(x[i - 1])
             i, j = i - 1, j - 1
-        elif best[i - 1][j] > best[i][j - 1]:
+        elif size(i - 1, j) > size(i, j - 1):
             i -= 1
         else:
             j -= 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.catalog import Catalog
+from tessera.plans.query import query
+
 ONE_NODE, ALL_NODES = "ONE_NODE", "ALL_NODES"
 
 
@@ -25,9 +29,21 @@ class Task:
     roles: frozenset[str] = field(default_factory=frozenset)
 
 
+class Context:
+    """What a task on the driver is given if it names a `context`: its parameters, and queries on the catalog's entities."""
+
+    def __init__(self, tasks: Tasks, parameters: dict):
+        self._tasks, self.parameters = tasks, parameters
+
+    def query(self, text: str, **params):
+        if self._tasks.catalog is None:
+            raise ValueError("these tasks have no catalog")
+        return query(self._tasks.catalog, text, **params)
+
+
 class Tasks:
-    def __init__(self, spark: SparkSession):
-        self.spark, self._tasks = spark, {}
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
+        self.spark, self.catalog, self._tasks = spark, catalog, {}
 
     def register(self, task: Task) -> None:
         self._tasks[task.name] = task
@@ -44,7 +60,8 @@ class Tasks:
         if missing:
             raise ValueError(f"task {name} misses {', '.join(missing)}")
         if task.mode == ONE_NODE:
-            return task.run(self.spark, **parameters)
+            given = {"context": Context(self, parameters)} if "context" in inspect.signature(task.run).parameters else {}
+            return task.run(self.spark, **given, **parameters)
 
         def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return task.run(frames, **parameters)

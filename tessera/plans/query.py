@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -68,10 +69,11 @@ class Query:
     def execute(self) -> Result:
         """At most max_results rows (100 by default) on the driver, and the number of matches."""
         limit = DEFAULT_LIMIT if self._limit is None else self._limit
-        found = self.all()
+        began, found = time.monotonic(), self.all()
         page = found.offset(self._offset).limit(limit)
         rows = self._within(page.collect)
         count, exact = self.hit_count()
+        self.catalog.statistics.record(self.text, len(rows), time.monotonic() - began)
         return Result(rows, count, exact)
 
     def hit_count(self, accuracy: int = HIT_COUNT_ACCURACY) -> tuple[int, bool]:

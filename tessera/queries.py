@@ -323,7 +323,22 @@ def _(t):
     )
 
 
-register("string_lcs")(lambda t: t.nation.select("n_name", strings.lcs(F.col("n_name"), F.lower("n_name")).alias("lcs"), strings.digest(F.col("n_name")).alias("digest")))
+register("string_digest")(lambda t: t.nation.select("n_name", strings.digest(F.col("n_name")).alias("digest")))
+
+
+@register(
+    "string_lcs",
+    """WITH RECURSIVE words AS (SELECT n_name AS a, reverse(n_name) AS b FROM nation), rows AS (
+      SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: CAST(0 AS BIGINT)) AS l FROM words
+      UNION ALL SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1),
+        lambda q: greatest(l[q + 1], CASE WHEN q > 0 AND substr(b, CAST(q AS INT), 1) = substr(a, i + 1, 1) THEN l[q] + 1 ELSE 0 END)))) FROM rows WHERE i < length(a)
+    ) SELECT a AS n_name, CAST(l[-1] AS INT) AS len, true AS fits FROM rows WHERE i = length(a)""",
+)
+def _(t):
+    a, b = F.col("n_name"), F.reverse("n_name")
+    fits = lambda x, of: F.regexp_like(of, F.concat(F.lit("(?s).*"), F.regexp_replace(x, "(?s)(.)", "$1.*")))
+    found = t.nation.select(a, b.alias("b"), strings.lcs(a, b).alias("x"))
+    return found.select("n_name", F.char_length("x").alias("len"), (fits(F.col("x"), a) & fits(F.col("x"), F.col("b"))).alias("fits"))
 
 
 def _space(t) -> Keyspace:
@@ -516,9 +531,9 @@ def _(t):
     return SortedSet(t.customer.select("c_nationkey", F.col("c_custkey").alias("member"), F.col("c_acctbal").alias("score")), key=["c_nationkey"]).pop(2)[0].select("c_nationkey", "member", "score")
 
 
-@register("zset_lex", "SELECT n_name AS member, n_nationkey AS score FROM nation WHERE n_name >= 'C' AND n_name < 'M'")
+@register("zset_lex", "SELECT n_name AS member, n_nationkey AS score FROM nation WHERE n_name >= 'NATION_12' AND n_name < 'NATION_4'")
 def _(t):
-    return SortedSet(t.nation.select(F.col("n_name").alias("member"), F.col("n_nationkey").alias("score"))).range_by_lex("[C", "(M")
+    return SortedSet(t.nation.select(F.col("n_name").alias("member"), F.col("n_nationkey").alias("score"))).range_by_lex("[NATION_12", "(NATION_4")
 
 
 @register("zset_rem_range_by_rank", f"SELECT member, score FROM {SPEND.format('')} ORDER BY score, member OFFSET 10")
@@ -553,19 +568,16 @@ def _(t):
 
 
 # Sketches
-@register("hll_count", "SELECT event_type, true AS near FROM events GROUP BY 1")
+@register("hll_count", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def _(t):
-    exact = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
-    guess = sketches.pf_merge(sketches.pf_add(t.events, "user_id", "event_type", "value"), "event_type").select("event_type", sketches.pf_count().alias("e"))
-    return exact.join(guess, "event_type").select("event_type", (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near"))
+    """Sketches of 2**18 registers count exactly while they are sparse: up to some 30,000 items."""
+    return sketches.pf_merge(sketches.pf_add(t.events, "user_id", "event_type", "value", lg_k=18), "event_type").select("event_type", sketches.pf_count().alias("n"))
 
 
-@register("count_min", "SELECT event_type, true AS fits FROM events GROUP BY 1")
+@register("count_min", "SELECT user_id, count(*) AS estimate FROM events GROUP BY 1")
 def _(t):
-    cms = sketches.CountMin.by_probability(0.001, 0.01)
-    exact = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    found = cms.query(cms.build(t.events, "event_type"), exact.select("event_type"), "event_type")
-    return exact.join(found, "event_type").select("event_type", (F.col("estimate") >= F.col("n")).alias("fits"))
+    cms = sketches.CountMin.by_probability(0.0001, 0.01)
+    return cms.query(cms.build(t.events, "user_id"), t.events.select("user_id").distinct(), "user_id")
 
 
 @register("top_k", "SELECT event_type AS item, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -578,18 +590,22 @@ def _(t):
     return sketches.topk_exact(t.orders, "o_custkey", 10)
 
 
-@register("bloom_filter", "SELECT c_custkey, true AS found FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@register("bloom_filter", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS found FROM customer")
 def _(t):
-    bloom = sketches.Bloom(200_000, 0.001)
-    known = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-    return bloom.contains(bloom.build(t.orders, "o_custkey"), known, "c_custkey").select("c_custkey", "found")
+    bloom = sketches.Bloom(200_000, 1e-7)
+    return bloom.contains(bloom.build(t.orders, "o_custkey"), t.customer, "c_custkey")
 
 
-@register("cuckoo_filter", "SELECT DISTINCT event_type, user_id, true AS found FROM events")
+@register("cuckoo_filter", "SELECT event_type, count(DISTINCT user_id) AS found, true AS few_false FROM events GROUP BY 1")
 def _(t):
+    """All items are found, and of as many that were never added no more than one in a hundred."""
     cuckoo = sketches.Cuckoo(20_000)
-    pairs = t.events.select("event_type", "user_id").distinct()
-    return cuckoo.contains(cuckoo.build(t.events, "user_id", "event_type"), pairs, "user_id", "event_type").select("event_type", "user_id", (F.col("count") > 0).alias("found"))
+    pairs = t.events.select("event_type", "user_id", F.lit(True).alias("real")).distinct()
+    others = pairs.select("event_type", (F.col("user_id") + 1_000_000_000).alias("user_id"), F.lit(False).alias("real"))
+    asked = pairs.unionByName(others)
+    hits = cuckoo.contains(cuckoo.build(t.events, "user_id", "event_type"), asked, "user_id", "event_type").where("count > 0")
+    hits = hits.join(asked, ["event_type", "user_id"]).groupBy("event_type")
+    return hits.agg(F.count_if("real").alias("found"), (F.count_if(~F.col("real")) <= 0.01 * F.count_if("real")).alias("few_false"))
 
 
 # Geo
@@ -601,9 +617,29 @@ def _(t):
     return geo.search(places(t.customer), 20.5, 10.5, radius=3000, in_unit="km", count=15, x="lon", y="lat").select("c_custkey", "distance")
 
 
-@register("geo_hash")
+SCORE_SQL = (
+    "(SELECT c_custkey, list_sum(list_transform(range(26), lambda k: (((x >> k) & 1) << (2 * k + 1)) + (((y >> k) & 1) << (2 * k))))::BIGINT AS score FROM ("
+    "SELECT c_custkey, least(floor((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 67108864.0::DOUBLE), 67108863)::BIGINT AS x, "
+    "least(floor((greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE) + 85.05112878::DOUBLE) / 170.10225756::DOUBLE * 67108864.0::DOUBLE), 67108863)::BIGINT AS y "
+    f"FROM {PLACES}))"
+)
+
+
+@register(
+    "geo_hash",
+    f"""SELECT c_custkey, list_aggregate(list_transform(range(11), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz',
+      CAST(CASE WHEN i < 10 THEN (score >> (47 - 5 * i)) & 31 ELSE (score << 3) & 31 END AS INT) + 1, 1)), 'string_agg', '') AS hash FROM {SCORE_SQL}""",
+)
+def _(t):
+    return places(t.customer).select("c_custkey", spatial.geohash(F.col("lat"), F.col("lon")).alias("hash"))
+
+
+@register("geo_positions", f"SELECT c_custkey, score FROM {SCORE_SQL}")
 def _(t):
-    return places(t.customer).select("c_custkey", spatial.geohash(F.col("lat"), F.col("lon"), 11).alias("hash"))
+    """Scores of GEOADD; each is checked to give, by GEOPOS, a point of its own cell."""
+    near = F.col("p.longitude").between(F.col("lon") - 3e-6, F.col("lon") + 3e-6) & ((F.abs("lat") > 85.05112878) | F.col("p.latitude").between(F.col("lat") - 2e-6, F.col("lat") + 2e-6))
+    scored = places(t.customer).withColumn("score", spatial.geo_score(F.col("lat"), F.col("lon"))).withColumn("p", geo.position(F.col("score")))
+    return scored.where(near).select("c_custkey", "score")
 
 
 # Multimaps, counters, functional maps
@@ -612,9 +648,18 @@ def _(t):
     return multimap.Multimap(t.customer.select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("value"))).get()
 
 
-@register("counter_bounded", "SELECT user_id, least(greatest(CAST(sum(event_id % 7) - 3 AS BIGINT), 0), 50) AS value FROM events GROUP BY 1")
+@register(
+    "counter_bounded",
+    "SELECT user_id, list_reduce([CAST(3 AS BIGINT)] || list(CAST(event_id % 41 - 20 AS BIGINT) ORDER BY event_id), lambda v, d: least(greatest(v + d, 0), 50)) AS value FROM events GROUP BY 1",
+)
+def _(t):
+    """Held within its bounds after every delta, not once at the end."""
+    return multimap.counter_values(t.events.select("user_id", "event_id", (F.col("event_id") % 41 - 20).alias("d")), "user_id", "d", 3, 0, 50, "event_id")
+
+
+@register("counter_unbounded", "SELECT user_id, CAST(sum(event_id % 7) + 5 AS BIGINT) AS value FROM events GROUP BY 1")
 def _(t):
-    return multimap.counter_values(t.events.select("user_id", (F.col("event_id") % 7).alias("d")), "user_id", "d", -3, 0, 50)
+    return multimap.counter_values(t.events.select("user_id", (F.col("event_id") % 7).alias("d")), "user_id", "d", 5)
 
 
 @register("functional_eval_many", "SELECT n_name, n_regionkey + 1 AS r FROM nation WHERE n_nationkey IN (2, 3)")

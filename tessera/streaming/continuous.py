@@ -106,7 +106,9 @@ def unexpired(df: DataFrame, now: Column, lifespan: str | None = None, max_idle:
 
 
 def deduplicated(feed: DataFrame, event_id: str, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Retried notifications dropped within a watermark."""
+    """Retried notifications dropped: within a watermark, or in the whole of a batch."""
+    if not feed.isStreaming:
+        return feed.dropDuplicates([event_id])
     return feed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
 
 

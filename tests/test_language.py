@@ -126,3 +126,20 @@ def test_paging_parameters_and_delete(catalog, spark):
     assert query(c, "from Game").hit_count() == (100, True)
     with pytest.raises(KeyError):
         query(c, "from Nothing").df()
+
+
+def test_statistics_and_tasks(spark):
+    from tessera.operators.tasks import Task, Tasks
+
+    catalog = Catalog()
+    catalog.register("n", spark.range(5))
+    for _ in range(3):
+        query(catalog, "select id from n where id > 1").execute()
+    row = catalog.statistics.df(spark).first()
+    assert (row["count"], row["rows"]) == (3, 9) and row["max_seconds"] >= row["mean_seconds"] > 0
+    assert catalog.statistics.slowest()[0] == "select id from n where id > 1"
+    catalog.statistics.clear()
+    assert catalog.statistics.slowest() is None
+    tasks = Tasks(spark, catalog)
+    tasks.register(Task("ask", lambda spark, context, least: context.query("select id from n where id > :x", x=least).df()))
+    assert tasks.execute("ask", least=3).count() == 1

@@ -36,6 +36,10 @@ def test_keys(spark):
     assert as_dict(k.msetnx({"a": 5, "d": 6})) == as_dict(k)
     assert as_dict(k.delete_if("a", 2)) == as_dict(k) and "a" not in as_dict(k.delete_if("a", 1))
     assert as_dict(k.rename("a", "b")) == {"b": 1, "c[1]": 3} and as_dict(k.rename("a", "b", only_free=True)) == as_dict(k)
+    with pytest.raises(KeyError):
+        k.rename("zz", "b")
+    twice = spark.createDataFrame([("a", 7, 1), ("a", 6, 2)], "key string, value int, _at int")
+    assert as_dict(k.set(twice))["a"] == 6 and as_dict(k.set(twice.drop("_at")))["a"] == 7
     assert k.exists(["a", "a", "z"]).first()["n"] == 2
     assert [r["key"] for r in k.keys("c\\[?]").collect()] == ["c[1]"] and glob("h[ae]llo*") == "^h[ae]llo(?s:.*)$"
     now = F.expr("TIMESTAMP '2024-01-01 00:00:00'")
@@ -108,13 +112,14 @@ def test_sketches(spark):
     assert abs(bloom.card(built).first()["n"] - 500) < 25
     cuckoo = sketches.Cuckoo(400)
     held = cuckoo.build(df, "x", "k")
-    assert held.agg(F.sum("rejected")).first()[0] == 0
+    assert cuckoo.info(held, "k").agg(F.sum("items")).first()[0] == 500
     seen = cuckoo.contains(held, df.select("k", "x").distinct(), "x", "k")
     assert seen.filter("count = 0").count() == 0
     import numpy as np
 
     table = np.zeros((cuckoo.buckets, cuckoo.bucket), np.uint16)
-    assert cuckoo.insert(table, 5, 77) and cuckoo.count(table, 5, 77) == 1 and cuckoo.delete(table, 5, 77) and cuckoo.count(table, 5, 77) == 0
+    at = np.array([5], np.uint64), np.array([77], np.uint64)
+    assert cuckoo.insert(table, 5, 77) and cuckoo.count(table, *at) == 1 and cuckoo.delete(table, 5, 77) and cuckoo.count(table, *at) == 0
     assert abs(sketches.pf_add(df, "x").select(sketches.pf_count()).first()[0] - 500) < 20
 
 
@@ -136,18 +141,52 @@ def test_cuckoo_beyond_its_capacity(spark):
     tables = []
     for _ in range(50):
         cuckoo.add(tables, 5, 77)
-    assert sum(cuckoo.count(t, 5, 77) for t in cuckoo.tables(b"".join(t.tobytes() for t in tables))) == 50
+    at = np.array([5], np.uint64), np.array([77], np.uint64)
+    assert sum(cuckoo.count(t, *at)[0] for t in cuckoo.tables(b"".join(t.tobytes() for t in tables))) == 50
+
+
+def test_cuckoo_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(sketches.Cuckoo, "SHARD_ITEMS", 100)
+    monkeypatch.setattr(sketches.Cuckoo, "PROBED", 50)
+    df = spark.range(900).select(F.col("id").alias("x"), F.lit("hot").alias("k"))
+    cuckoo = sketches.Cuckoo(150)
+    held = cuckoo.build(df, "x", "k")
+    assert held.count() == 9 and cuckoo.contains(held, df, "x", "k").filter("count > 0").count() == 900
+    less = cuckoo.change(held, df.where("x < 300"), "x", "k", "del")
+    assert cuckoo.info(less, "k").first()["items"] == 600
+    assert cuckoo.contains(less, df, "x", "k").filter("count > 0 AND x >= 300").count() == 600
+
+
+def test_bounded_counters(spark):
+    rows = [("a", 60), ("a", -20), ("b", -5), ("b", 7), ("b", 100), ("b", -1), ("c", None)]
+    df = spark.createDataFrame([(k, d, i) for i, (k, d) in enumerate(rows)], "k string, d int, at int").repartition(3)
+    got = {r["k"]: r["value"] for r in multimap.counter_values(df, "k", "d", 0, 0, 50, "at").collect()}
+    assert got == {"a": 30, "b": 49, "c": 0}
+    import random
+
+    rng = random.Random(1)
+    deltas = [rng.randrange(-30, 31) for _ in range(2000)]
+    value = 10
+    for d in deltas:
+        value = min(max(value + d, -40), 70)
+    hot = spark.createDataFrame([("hot", d, i) for i, d in enumerate(deltas)], "k string, d int, at int")
+    assert multimap.counter_values(hot, "k", "d", 10, -40, 70, "at").first()["value"] == value
+    with pytest.raises(ValueError):
+        multimap.counter_values(df, "k", "d", 0, 0, 50)
 
 
 def test_geo(spark):
-    assert one(spark, spatial.geohash(F.lit(38.115556), F.lit(13.361389), 10)) == "sqc8b49rny"
+    assert one(spark, spatial.geo_score(F.lit(38.115556), F.lit(13.361389))) == 3479099956230698
+    assert one(spark, spatial.geohash(F.lit(38.115556), F.lit(13.361389))) == "sr1t2n3rnbh"
+    score = geo.add(F.lit(15.087269), F.lit(37.502669))
+    assert one(spark, geo.distance_of(geo.add(F.lit(13.361389), F.lit(38.115556)), score, "km")) == pytest.approx(166.2742, abs=1e-3)
     assert one(spark, geo.distance(F.lit(13.361389), F.lit(38.115556), F.lit(15.087269), F.lit(37.502669))) == pytest.approx(166274.15, abs=0.5)
     df = spark.createDataFrame([("Palermo", 13.361389, 38.115556), ("Catania", 15.087269, 37.502669)], "member string, longitude double, latitude double")
     assert [r["member"] for r in geo.search(df, 15, 37, radius=200, in_unit="km", descending=False).collect()] == ["Catania", "Palermo"]
     assert [r["member"] for r in geo.search(df, 15, 37, width=200, height=200, in_unit="km").collect()] == ["Catania"]
-    assert one(spark, geo.position(F.lit(1.0), F.lit(2.0)))["longitude"] == 1.0
+    assert one(spark, geo.position(score))["longitude"] == pytest.approx(15.087269, abs=3e-6)
     with pytest.raises(Exception, match="invalid longitude"):
-        one(spark, geo.position(F.lit(200.0), F.lit(2.0)))
+        one(spark, geo.add(F.lit(200.0), F.lit(2.0)))
 
 
 def test_multimaps_and_tasks(spark):
