@@ -14,7 +14,8 @@ one more pool, whatever its size: nothing goes unjudged. Where texts hardly vary
 scatter is raised to the square of its `FLOOR`; larger ones stay as estimated.
 
 Rows are never ordered or gathered: one step is one aggregation of moments per (group, bin of distance), so a group may
-hold any share of the rows; the share kept is rounded up to the end of its bin (a 256th of an octave). The statistics
+hold any share of the rows; the share kept is rounded up to the end of its bin (a 256th of an octave, a 32nd while all starts
+are tried). The statistics
 are integers and the sums decimals, so reruns agree to the last bit.
 
 Defined results: null and empty texts have no words and fail the base rule; nulls in lang or source are groups of their
@@ -38,7 +39,7 @@ FIRST_STEPS, MOST_STEPS = 2, 12
 #: Rows that a group needs for an estimate of its own.
 GROUP_ROWS = 40
 #: Fixed point of the statistics; bins of distance to an octave.
-ONE, BINS = 1024, 256
+ONE, BINS, FIRST_BINS = 1024, 256, 32
 #: Least standard deviations: word length, and logarithms of the rates of symbols, capitals, marks, repeated words.
 FLOOR = (0.25, 0.5, 0.25, 0.25, 0.5)
 #: Rates are smoothed by so many words of usual text, so that short texts don't stand out by chance.
@@ -221,9 +222,9 @@ def estimated(sums: DataFrame, share: float) -> DataFrame:
     return factored(kept.select("grp", "start", *centre, *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS]))
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def concentrate(rows: DataFrame, estimate: DataFrame, bins: int = BINS) -> DataFrame:
     """One concentration step: centre and scatter of the nearest share of each group, for every start."""
-    near = distance(rows, estimate).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * BINS))
+    near = distance(rows, estimate).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * bins))
     sums = moments(near, "bin")
     whole = Window.partitionBy("grp", "start")
     ranked = sums.withColumn("before", F.sum("n").over(whole.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(whole))
@@ -244,7 +245,7 @@ def estimates(light: DataFrame, groups: DataFrame) -> DataFrame:
     rows = usable(light, groups)
     found = first_estimates(rows)
     for _ in range(FIRST_STEPS):
-        found, old = concentrate(rows, found), found
+        found, old = concentrate(rows, found, FIRST_BINS), found
         discard(old)
     found, old = cut(best(found).coalesce(1), "quality-best"), found
     discard(old)
