@@ -87,11 +87,11 @@ def source_plan(light: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
         .agg(F.min(F.struct("bin", "before", "rest")).alias("m")).select("source", F.col("m.bin").alias("last_bin"), "m.before", "m.rest")
     )
     last = cut(last.coalesce(1), "mix-last")
-    within = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     edge = binned.alias("d").join(small(last, 10_000).alias("l"), F.expr("d.source <=> l.source AND d.bin = l.last_bin")).select("d.source", "key", "doc_id", "size", "before", "rest")
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(within.rangeBetween(Window.unboundedPreceding, 0)))
-    tied = F.sum("size").over(Window.partitionBy("source", "key", "doc_id", "size"))
-    taken = edge.withColumn("tied", tied).where(F.col("upto") - F.col("tied") / 2 <= F.col("rest"))
+    # Rows that repeat an id and a size are one here, however many they are.
+    edge = edge.groupBy("source", "key", "doc_id", "size", "before", "rest").agg(F.sum("size").alias("tied"))
+    upto = F.col("before") + F.sum("tied").over(Window.partitionBy("source").orderBy("key", "doc_id", "size"))
+    taken = edge.withColumn("upto", upto).where(F.col("upto") - F.col("tied") / 2 <= F.col("rest"))
     ends = taken.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("end"))
     plan = aims.alias("a").join(last.alias("l"), F.expr("a.source <=> l.source"), "left").join(ends.alias("e"), F.expr("a.source <=> e.source"), "left")
     return cut(plan.select("a.source", "source_size", "target", "epochs", F.lit(bins).alias("bins"), F.coalesce("last_bin", F.lit(1 << 30)).alias("last_bin"), "end").coalesce(1), "mix-plan")

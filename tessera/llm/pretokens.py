@@ -39,11 +39,21 @@ def load(path: str):
     return tokenizer
 
 
+def check_split(tokenizer, path: str) -> None:
+    """Refuses a vocabulary whose library splits texts otherwise than this module: its counts would be wrong."""
+    probe = "It's we'll 12ab x--y (Z) a  b\tc\nd's e_f"
+    normal = tokenizer.normalizer.normalize_str(probe) if tokenizer.normalizer else probe
+    theirs = [s for s, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal)] if tokenizer.pre_tokenizer else [normal]
+    if theirs != [s for chunk in probe.split() for s in pretokens(chunk.encode())]:
+        raise ValueError(f"{path} splits texts otherwise than word_bpe_49k.json does")
+
+
 class Encoder(dict):
     """pre-token -> its ids as little-endian bytes of `width` bytes each."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        check_split(self.tokenizer, path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
 

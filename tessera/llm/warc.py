@@ -6,7 +6,9 @@ a `response`, the others `revisit` records that name it and carry no payload.
 
 Reading an archive back gives one run: its captures sorted by URL key (host reversed, then path) and time. The runs are
 cut at common range bounds, and in each range a loser tree merges the pieces of all runs, which are already in order.
-The bounds are over (URL key, time, page), so a URL that holds any share of the captures spreads over many ranges.
+The bounds are over (URL key, time, page), so a URL that holds any share of the captures spreads over many ranges, and there
+is a range for every RANGE_ROWS captures at most. Offsets and lengths in the index are those of an archive's text, since
+Spark's writer makes one gzip member of each file. Archives are read in a stream; one record is held at a time.
 
 Defined results: null html is an empty payload, and empty payloads are equal payloads; a null or odd url gets an empty
 or cleaned URL key; rows without a page_id are responses; repeated rows of one page_id and payload are all what the id
@@ -17,8 +19,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from base64 import b32encode
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, new_path, small
 
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, RANGE_ROWS = 2000, 100_000
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 # The digits of base 32, and the profile of revisits.
@@ -73,7 +77,7 @@ def records(rows: DataFrame) -> DataFrame:
     value = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        F.coalesce(line("WARC-Record-ID", record_id(F.col("page_id"))), F.lit("")),
+        line("WARC-Record-ID", record_id(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("no page "), F.coalesce("url", F.lit("")), F.lit(" "), "sha1")))),
         line("WARC-Date", moment),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
@@ -103,21 +107,26 @@ def url_key(url: str) -> str:
     return f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Headers, block, offset and length of every record in an archive's text."""
+def parse(data: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers, block, offset and length of every record in an archive's text, which is read as a stream."""
     at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode().split("\r\n")
-        if lines[0] != "WARC/1.1":
+    while first := data.readline():
+        if first != b"WARC/1.1\r\n":
             raise ValueError(f"no record at {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        start = head_end + 4
-        stop = start + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        head, headers = len(first), {}
+        while (line := data.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"the record at {at} has no end")
+            head += len(line)
+            name, value = line[:-2].decode().split(": ", 1)
+            headers[name] = value
+        size = int(headers["Content-Length"])
+        block, end = data.read(size), data.read(4)
+        if end != b"\r\n\r\n":
             raise ValueError(f"the record at {at} doesn't end where it says")
-        yield headers, data[start:stop], at, stop + 4 - at
-        at = stop + 4
+        length = head + 2 + size + 4
+        yield headers, block, at, length
+        at += length
 
 
 def read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +138,7 @@ def read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             run = path.rsplit("/", 1)[-1]
             rows = []
-            for headers, block, offset, length in parse(gzip.decompress(content.as_py())):
+            for headers, block, offset, length in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                 digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                 size = int(headers["X-Payload-Length"])
                 if kind == "response":
@@ -205,5 +214,7 @@ def capture_index(archives: str, pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(archives).select("path", "content")
     runs = cut(files.mapInArrow(read_runs, RUNS), "warc-runs")
-    ranges = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(least, -(-runs.count() // RANGE_ROWS))
+    ranges = runs.repartitionByRange(spread, "url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
     return ranges.mapInArrow(merge_runs, INDEX)

@@ -152,3 +152,44 @@ def test_mix_documents_repeats_rows(spark, folder):
         got[(r["doc_id"], len(WORD.findall(r["text"] or "")))] += len(WORD.findall(r["text"] or ""))
     for k, n in got.items():
         assert n >= want[k] and (want[k] or not k[1])
+
+
+def crowded(spark, parts):
+    """A third of the rows equal, a third of one id, some without an id."""
+    rows_ = [(7, "same text")] * 1000 + [(8, f"other {i}") for i in range(1000)] + [(None, f"text {i % 50}") for i in range(500)] + [(100 + i, None) for i in range(500)]
+    return spark.createDataFrame(rows_, "doc_id long, text string").repartition(parts)
+
+
+def test_sharding_spreads_copies(spark):
+    from tessera.llm import sharding
+
+    one, two = (sorted((repr(tuple(r)) for r in sharding.shard_digests(crowded(spark, n)).collect())) for n in (3, 11))
+    assert one == two and len(one) == 3000
+    buckets = sharding.scatter(crowded(spark, 4), 16, 11).groupBy("bucket").count().collect()
+    assert len(buckets) == 16 and max(r["count"] for r in buckets) < 300
+
+
+def test_written_shards(spark, tmp_path):
+    from tessera.llm import sharding
+
+    frame = crowded(spark, 5).withColumns({"row": sharding.F.lit(1), "bucket": sharding.F.lit(2), "n": sharding.F.lit(3)})
+    sharding.write_shards(frame, str(tmp_path / "shards"), shards=5)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*frame.columns, "shard", "slot"} and back.count() == 3000
+    sizes = {r["shard"]: (r["n_"], r["last"]) for r in back.groupBy("shard").agg(sharding.F.count("*").alias("n_"), sharding.F.max("slot").alias("last")).collect()}
+    assert len(sizes) == 5 and all(n == 600 and last == 599 for n, last in sizes.values())
+
+
+def test_mixing_takes_rows_of_one_id_together(spark):
+    from tessera.llm import mixing
+
+    docs = crowded(spark, 4).withColumn("source", mixing.F.lit("one"))
+    got = mixing.mix(docs).groupBy("doc_id", "size").agg(mixing.F.count_distinct("times").alias("n"), mixing.F.count("*").alias("rows")).collect()
+    assert all(r["n"] == 1 for r in got) and sum(r["rows"] for r in got) == 3000
+
+
+def test_other_vocabularies_are_refused():
+    from tessera.llm import pretokens
+
+    with pytest.raises(ValueError, match="splits texts otherwise"):
+        pretokens.Encoder(tokenizer_path("byte_bpe_50k.json"))

@@ -39,7 +39,10 @@ def test_round_trip(spark, tables, kind):
         want.append((p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "revisit" if to is not None else "response", to))
     got = queries.op8_warc(spark, folder).collect()
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=repr) == sorted(want, key=repr)
-    ordered = sorted(got, key=lambda r: (r["span"], r["place"]))
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    index = warc.capture_index(warc.write_archives(pages), pages).collect()
+    assert len(index) == len(got)
+    ordered = sorted(index, key=lambda r: (r["span"], r["place"]))
     keys = [(r["url_key"], r["captured"], r["page_id"] or 0) for r in ordered]
     assert keys == sorted(keys)
 
@@ -47,8 +50,11 @@ def test_round_trip(spark, tables, kind):
 def test_archives_are_plain_warc(spark, tables, tmp_path):
     folder = tables(pages=PAGES)
     path = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), str(tmp_path / "w"))
-    found = [r for f in Path(path).glob("part*") for r in warc.parse(gzip.decompress(f.read_bytes()))]
-    assert len(found) == len(PAGES)
+    found = [r for f in Path(path).glob("part*") for r in warc.parse(gzip.open(f))]
+    assert len(found) == len(PAGES) and all(h["WARC-Record-ID"].startswith("<urn:uuid:") for h, *_ in found)
+    for f in Path(path).glob("part*"):
+        text = gzip.decompress(f.read_bytes())
+        assert all(text[at : at + n].startswith(b"WARC/1.1\r\n") and text[at : at + n].endswith(b"\r\n\r\n") for _, _, at, n in warc.parse(gzip.open(f)))
     assert all(h["WARC-Profile"] == warc.PROFILE for h, *_ in found if h["WARC-Type"] == "revisit")
 
 
