@@ -10,6 +10,10 @@
    the first are repeats.
 4. The covered bytes of each document are merged, cut out and described.
 
+An anchor with more than HOT_RUNS unlike runs (a phrase of 50 bytes in many contexts) is split: strings whose anchor lies
+within the same RANGES-th of the possible offsets all hold the same core of 88 bytes or more, so only runs with equal
+cores can hold equal strings, and these meet by core instead.
+
 Hashes of 64 bits only route; runs are equal by 112 bits of independent hashes, strings by their bytes. Map tasks settle
 equal runs among their own documents before the shuffle, so a passage that many documents share leaves each task once.
 A bucket's and a batch's memory are bounded; of a very frequent anchor the runs are taken in document order, batch after
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +45,7 @@ SLICE = 1 << 20
 BUCKET_BYTES = 16 << 20
 BATCH = 1 << 20
 RUNS = 1 << 18
+HOT_RUNS, RANGES = 256, 4
 _rng = np.random.default_rng(31)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = 0xD6E8FEB86659FD93
@@ -175,7 +181,7 @@ def find_runs(buckets: int):
 
 
 def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: rows sorted by bucket -> repeated intervals (bucket 0), and runs that must show their bytes (bucket 1)."""
+    """mapInArrow: rows sorted by bucket -> repeated intervals (bucket 0), and runs that must show their bytes (1; 2: by cores)."""
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -192,7 +198,10 @@ def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         same = h[1:] == h[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         h, doc, place = h[several], doc[several], place[several]
-        yield from pieces(1, doc, place >> 43, np.column_stack([h.view(np.int64), place]))
+        _, which, unlike = np.unique(h, return_inverse=True, return_counts=True)
+        hot = unlike[which] > HOT_RUNS
+        for kind, mine in ((1, ~hot), (2, hot)):
+            yield from pieces(kind, doc[mine], place[mine] >> 43, np.column_stack([h[mine].view(np.int64), place[mine]]))
 
     blobs, bucket = [], None
     for batch in batches:
@@ -211,22 +220,42 @@ def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from settle(blobs)
 
 
+def by_cores(data: bytes, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut by where their strings hold the anchor: the hash of the core that all strings of such a part hold, and its place."""
+    tie, start, _ = unpacked(place)
+    anchor, lead, span = (place >> 12) & ((1 << 31) - 1), (place >> 6) & 63, place & 63
+    most = LENGTH - GRAM
+    cores, parts = [], []
+    for k in range(RANGES):
+        low, high = k * (most + 1) // RANGES, (k + 1) * (most + 1) // RANGES - 1
+        first, last = np.minimum(lead, high), np.maximum(lead - span, low)
+        some = first >= last
+        parts.append(packed(0, anchor[some], first[some], first[some] - last[some]) | (tie[some] << 43))
+        begin = anchor[some] - low
+        cores.append(np.array([xxhash.xxh64_intdigest(data[c : c + LENGTH - high + low], k) for c in begin.tolist()], np.uint64).view(np.int64))
+    return np.concatenate(cores), np.concatenate(parts)
+
+
 def show_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: documents with the runs asked of them -> (anchor, doc, place, bytes)."""
+    """mapInArrow: documents with the runs asked of them (kind, pairs of anchor and place) -> (anchor or core, doc, place, bytes)."""
     held: list[tuple] = []
     size = 0
 
     def shown() -> pa.RecordBatch:
         anchor, doc, place = (np.concatenate([h[i] for h in held]) for i in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(place), pa.array([x for h in held for x in h[3]], pa.binary())], names=["anchor", "doc", "place", "bytes"])
+        bytes_ = pa.array([x for h in held for x in h[3]], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(place), bytes_], names=["anchor", "doc", "place", "bytes"])
 
     for batch in batches:
-        for doc, text, blobs in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("blobs"), strict=True):
+        for doc, text, asked in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("blobs").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
-            asked = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs.as_py()])
-            _, start, stop = unpacked(asked[:, 1])
-            held.append((asked[:, 0], np.full(len(asked), doc, np.int64), asked[:, 1], [data[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]))
-            size += len(asked)
+            for ask in asked:
+                anchor, place = np.frombuffer(ask["blob"], np.int64).reshape(-1, 2).T
+                if ask["bucket"] == 2:
+                    anchor, place = by_cores(data, place)
+                _, start, stop = unpacked(place)
+                held.append((anchor, np.full(len(place), doc, np.int64), place, [data[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]))
+                size += len(place)
             if size > 10_000:
                 yield shown()
                 held, size = [], 0
@@ -339,7 +368,7 @@ def with_ties(docs: DataFrame) -> DataFrame:
     light = rows.select("doc", "_hash")
     several = light.groupBy("doc").agg(F.min("_hash").alias("lo"), F.max("_hash").alias("hi")).where("lo <> hi").select("doc")
     several = cut(several, "suffix-ids")
-    if not several.take(1):
+    if not several.limit(1).count():
         return rows.select("doc_id", "text", "doc", F.lit(0).alias("tie"))
     numbered = light.join(small(several, 500_000), "doc").distinct().withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy("_hash")))
     numbered = cut(numbered, "suffix-ties")
@@ -357,11 +386,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt = found.withColumn("_to", travels).repartition(buckets, "_to").sortWithinPartitions("bucket").drop("_to")
     settled = cut(dealt.mapInArrow(settle_buckets, PIECES), "suffix-settled", compression="zstd")
 
-    by_document = lambda df: df.groupBy("doc", "tie").agg(F.collect_list("blob").alias("blobs"))
-    asked = by_document(settled.where("bucket = 1"))
-    shown = texts.select("doc", "tie", "text").join(asked, ["doc", "tie"]).select("doc", "text", "blobs").mapInArrow(show_bytes, "anchor long, doc long, place long, bytes binary")
+    by_document = lambda df, what: df.groupBy("doc", "tie").agg(F.collect_list(what).alias("blobs"))
+    asked = by_document(settled.where("bucket > 0"), F.struct("bucket", "blob"))
+    asked = texts.select("doc", "tie", "text").join(asked, ["doc", "tie"]).select("doc", "text", "blobs")
+    shown = asked.mapInArrow(show_bytes, "anchor long, doc long, place long, bytes binary")
     repeats = shown.repartition("anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(find_repeats, PIECES)
     repeats = cut(repeats, "suffix-repeats", compression="zstd")
-    spans = by_document(settled.where("bucket = 0").unionByName(repeats).select("doc", "tie", "blob"))
+    spans = by_document(settled.where("bucket = 0").unionByName(repeats), "blob")
     joined = texts.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "blobs")
     return joined.mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

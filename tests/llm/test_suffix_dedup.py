@@ -47,10 +47,24 @@ def passages():
     return out
 
 
-@pytest.mark.parametrize("kind", ["edge", "passages", "sample", "empty"])
+def contexts():
+    """One phrase of 70 bytes in hundreds of contexts, some of which come twice or reach farther on one side."""
+    rng = random.Random(6)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    side = lambda n: "".join(rng.choice("klmnopqrst ") for _ in range(n))
+    lefts, rights = [side(60) for _ in range(40)], [side(60) for _ in range(40)]
+    out = []
+    for i in range(700):
+        left = rng.choice(lefts) if i % 3 else side(60)
+        right = rng.choice(rights) if i % 4 else side(60)
+        out.append((i, side(20) + left[rng.randrange(30) :] + phrase + right[: 60 - rng.randrange(30)] + side(20), "en", "s"))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["edge", "passages", "contexts", "sample", "empty"])
 def test_query(spark, tables, kind):
     edge = [r for r in DOCUMENTS if r[0] != 12] + [(12, "x" * 3000, None, None), (None, DOCUMENTS[0][1], None, None), (50, "é" * 49 + "y", None, None), (51, "é" * 49 + "y", None, None)]
-    folder = {"edge": lambda: tables(edge), "passages": lambda: tables(passages()), "sample": lambda: "/root/testdata/sf0.001", "empty": lambda: tables([])}[kind]()
+    folder = {"edge": lambda: tables(edge), "passages": lambda: tables(passages()), "contexts": lambda: tables(contexts()), "sample": lambda: "/root/testdata/sf0.001", "empty": lambda: tables([])}[kind]()
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()]
     got = sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in queries.op6_suffix_dedup(spark, folder).collect()), key=repr)
     assert got == plain(docs)
@@ -96,3 +110,21 @@ def test_a_frequent_anchor_in_batches(monkeypatch):
     whole = found()
     monkeypatch.setattr(suffix_dedup, "BATCH", 1000)
     assert found() == whole
+
+
+def test_hot_anchors_are_split():
+    """The parts of a run hold each of its strings once, and equal strings have equal cores."""
+    rng = random.Random(3)
+    data = bytes(rng.choice(b"ab") for _ in range(40)) * 8
+    anchor, lead, span = (np.array(x, np.int64) for x in ([60, 100, 140, 100], [50, 13, 30, 12], [50, 0, 18, 12]))
+    place = suffix_dedup.packed(0, anchor, lead, span)
+    cores, parts = suffix_dedup.by_cores(data, place)
+    _, start, stop = suffix_dedup.unpacked(place)
+    want = sorted(i for a, b in zip(start, stop, strict=True) for i in range(a, b - 99))
+    _, start, stop = suffix_dedup.unpacked(parts)
+    got = [(i, c, (parts[k] >> 12) & ((1 << 31) - 1)) for k, (a, b, c) in enumerate(zip(start, stop, cores, strict=True)) for i in range(a, b - 99)]
+    assert sorted(i for i, _, _ in got) == want
+    by = {}
+    for i, c, a in got:
+        by.setdefault((data[i : i + 100], int(a) - i), set()).add(int(c))
+    assert all(len(c) == 1 for c in by.values())
