@@ -13,7 +13,7 @@ from tessera.operators import tasks
 from tessera.operators.stream import Stream
 from tessera.plans.query import query
 from tessera.queries import TOK, asked, register
-from tessera.sources import stores
+from tessera.sources import index, stores
 from tessera.streaming import continuous
 
 # Full text: analyzers
@@ -264,6 +264,38 @@ def _(t):
     return gone.withColumnRenamed("n", "gone").join(left.agg(F.count("*").alias("kept")), F.lit(True))  # one row each
 
 
+# Indexes
+def _index(t) -> str:
+    path = _path(t)
+    index.build(t.documents, "doc_id", "text", path)
+    return path
+
+
+@register("index_term", f"SELECT doc_id AS key, CAST(len(list_filter({TOK}, lambda x: x = 'the')) AS INT) AS n FROM documents WHERE list_contains({TOK}, 'the')")
+def _(t):
+    return index.term(t.spark, _index(t), "the")
+
+
+@register("index_phrase", f"SELECT doc_id AS key FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the and ')")
+def _(t):
+    return index.phrase(t.spark, _index(t), ["of", "the", "and"]).select("key")
+
+
+@register("index_all_terms", f"SELECT doc_id AS key FROM documents WHERE list_contains({TOK}, 'worthless') AND list_contains({TOK}, 'the')")
+def _(t):
+    return index.every(t.spark, _index(t), ["worthless", "the"])
+
+
+@register("index_prefix", f"SELECT x AS token, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) WHERE x LIKE 'wor%' GROUP BY 1")
+def _(t):
+    return index.prefix(t.spark, _index(t), "wor")
+
+
+@register("index_statistics", f"SELECT count(DISTINCT x) AS tokens, count(DISTINCT (doc_id, x)) AS postings, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents)")
+def _(t):
+    return index.statistics(t.spark, _index(t))
+
+
 # Feeds
 @register(
     "initial_state_events",

@@ -435,6 +435,21 @@ def _(t):
     return multimap.Multimap(t.customer.select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("value")), duplicates=True).get()
 
 
+@register(
+    "counter_manager",
+    """SELECT name, list_reduce([CAST(first AS BIGINT)] || coalesce(d, CAST([] AS BIGINT[])), lambda v, x: least(greatest(v + x, lo), hi)) AS value FROM (VALUES ('click', 10, 0, 100), ('view', 0, -5, 5), ('unused', 7, -1000000, 1000000)) c(name, first, lo, hi)
+    LEFT JOIN (SELECT event_type, list(CAST(user_id % 21 - 10 AS BIGINT) ORDER BY event_id) AS d FROM events GROUP BY 1) e ON e.event_type = c.name""",
+)
+def _(t):
+    manager = multimap.CounterManager()
+    manager.define("click", multimap.CounterConfig(10, 0, 100))
+    manager.define("view", multimap.CounterConfig(0, -5, 5))
+    manager.define("unused", multimap.CounterConfig(7))
+    manager.define("click", multimap.CounterConfig(99))  # already there
+    deltas = t.events.select(F.col("event_type").alias("name"), (F.col("user_id") % 21 - 10).alias("d"), "event_id")
+    return manager.values(deltas, "name", "d", "event_id")
+
+
 @register("counter_swap", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 20 ELSE n_regionkey END AS value FROM nation")
 def _(t):
     return t.nation.select("n_nationkey", multimap.compare_and_swap(F.col("n_regionkey"), 2, 20).alias("value"))

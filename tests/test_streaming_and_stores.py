@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.catalog import Catalog
 from tessera.plans.compiler import QueryError
+from tessera.plans.query import query
 from tessera.sources import stores
 from tessera.streaming import continuous
 
@@ -73,3 +74,22 @@ def test_stores(spark, tmp_path):
     assert b"".join(bytes(r["bytes"]) for r in chunks) == bytes(range(256)) * 10 and len(chunks) == 3
     assert stores.custom_schema({"a": "numeric", "b": "int4"}) == "a double, b int"
     assert stores.from_xml(stores.to_xml(df.limit(1)), "id long, v long").first()["v"] == 0
+
+
+def test_jdbc_tables_and_queries(spark, tmp_path):
+    """A store in the embedded database that comes with Spark."""
+    url, how = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(1, "a", 1.5), (2, "b", None), (3, "c", 2.5)], "id int, name string, amount double")
+    stores.write_jdbc(rows, url, "entries", mode="overwrite", createTableColumnTypes="name varchar(20)", **how)
+    stores.write_jdbc(rows.where("id = 1").withColumn("id", F.lit(4)), url, "entries", createTableColumnTypes="name varchar(20)", **how)
+    back = stores.jdbc_table(spark, url, "entries", **how)
+    assert sorted(tuple(r) for r in back.collect()) == sorted([(1, "a", 1.5), (2, "b", None), (3, "c", 2.5), (4, "a", 1.5)], key=lambda r: r[0])
+    found = stores.jdbc_query(spark, url, 'SELECT "name", count(*) AS n FROM entries GROUP BY "name"', **how)
+    assert {r[0]: r[1] for r in found.collect()} == {"a": 2, "b": 1, "c": 1}
+    # Key look-ups and segments go to the database as conditions.
+    plan = back.where(F.col("id").isin(2, 3))._jdf.queryExecution().toString()
+    assert "PushedFilters: [*In(" in plan.replace("ID", "id") or "In(" in plan
+    catalog = Catalog()
+    catalog.register("entries", back.toDF("id", "name", "amount"), key="id")
+    assert [r[0] for r in query(catalog, "select id from entries where amount > 1 order by id desc").df().collect()] == [4, 3, 1]
+    assert stores.custom_schema({"a": "int4", "b": "blob", "c": "odd"}) == "a int, b binary, c odd"
