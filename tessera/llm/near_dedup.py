@@ -6,7 +6,7 @@ that neighbours have the longest common prefix. Classes that agree on the first
 
 1. The depth adapts to each region: one of more than `CROWD` classes is split by its next slot, and its parts again,
    until a part has `CROWD` classes at most or `DEEPER` slots more are used up. All pairs of a part are candidates, and in
-   split regions every class and its neighbour in the order too. Of the candidates that look similar by signature a class
+   split regions every class and its neighbour in the order too. Regions beyond `PART_ROWS` classes are dealt to several tasks. Of the candidates that look similar by signature a class
    first verifies the `NEAREST` most similar ones.
 2. A split region gets a hub, the class that most of its members meet in their largest regions; hubs needn't be
    members, so that one hub serves a whole family of copies. Every member is compared with its hub.
@@ -48,6 +48,8 @@ SIMILAR = 0.8
 LOOKS_SIMILAR = 0.64
 #: Members that are compared with one copy of their hub's set; rows of one region that are split at once.
 STAR_ROWS, HELD_ROWS = 256, 1 << 16
+#: Classes of a region that one task sorts; classes that are drawn to find larger regions, which are dealt in parts.
+PART_ROWS, DRAWN = 50_000, 20_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -160,7 +162,7 @@ def descend(rows: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np
         run = np.cumsum(shared < depth) - (shared[0] < depth)
         size = np.bincount(run)[run]
         if not depth:
-            split = (size > CROWD) | ((run == 0) & goes_on)
+            split = (size > CROWD) | ((run == 0) & goes_on) | (rows[5] > 0)
             beside = np.flatnonzero(split[1:] & (run[1:] == run[:-1]))
             left.append(node[beside])
             right.append(node[beside + 1])
@@ -177,12 +179,14 @@ def descend(rows: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: sorted places -> candidate pairs (a, b), and (region, a) of the members of split regions.
 
-    A region that goes on over HELD_ROWS rows is split in parts of so many; that parts some pairs, which the hub finds.
+    A region that goes on over HELD_ROWS rows is split in parts of so many, and one that is dealt in parts is split at once
+    (part: its rows lie together; of: the region). That parts some pairs, which the hub finds.
     """
-    held, goes_on = np.zeros((4, 0), np.int64), False
+    columns = ("part", "deep", "deeper", "node", "of", "dealt")
+    held, goes_on = np.zeros((len(columns), 0), np.int64), False
     for batch in chain(batches, [None]):
         if batch is not None:
-            held = np.concatenate([held, [batch.column(c).to_numpy() for c in ("region", "deep", "deeper", "node")]], axis=1)
+            held = np.concatenate([held, [batch.column(c).to_numpy() for c in columns]], axis=1)
         if not held.shape[1]:
             continue
         last = int(np.searchsorted(held[0], held[0, -1])) if batch is not None else held.shape[1]
@@ -197,10 +201,29 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(pairs.shape[1], pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), pa.array(pairs[1])], names=["region", "a", "b"])
         none = pa.nulls(int(split.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0, split]), pa.array(rows[3, split]), none], names=["region", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[4, split]), pa.array(rows[3, split]), none], names=["region", "a", "b"])
         held, goes_on = (held[:, -1:], True) if inside else (held[:, last:], False)
 
 
+def forest(classes: DataFrame) -> DataFrame:
+    """Candidate pairs and members of split regions, of all orders. A region too large for a task, as far as a draw of classes
+    shows, is dealt in parts by a hash of its members; which regions that finds changes no result."""
+    places = classes.mapInArrow(plant, "region long, deep long, deeper long, node long")
+    count = classes.count()
+    if count > PART_ROWS:
+        share = min(1.0, DRAWN / count)
+        drawn = classes.sample(share, seed=1).mapInArrow(plant, "region long, deep long, deeper long, node long")
+        large = drawn.groupBy("region").agg(F.ceil(F.count("*") / share / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
+        large = cut(large, "near-large")  # TREES * count / PART_ROWS rows at most
+        places = places.join(small(large, 1_000_000), "region", "left")
+    else:
+        places = places.withColumn("parts", F.lit(None).cast("int"))
+    part = F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    places = places.select(part.alias("part"), "deep", "deeper", "node", F.col("region").alias("of"), F.col("parts").isNotNull().cast("long").alias("dealt"))
+    ordered = places.repartition("part").sortWithinPartitions("part", "deep", "deeper", "node")
+    return cut(ordered.mapInArrow(neighbours, "region long, a long, b long"), "near-forest")
+
+
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: pairs with both signatures and sizes -> those that could be links, with the share of equal slots."""
     for batch in batches:
@@ -306,15 +329,16 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) ->
 
 def families(crowds: DataFrame) -> DataFrame:
     """Members of split regions (region, node) -> (a, b): hub and member, such that two members of a region share a hub."""
-    sizes = crowds.groupBy("region").agg(F.count("*").alias("m"))
+    of_region = lambda df, name: small(cut(df, name), 1_000_000)  # noqa: E731  narrow rows, so that members needn't meet by region
+    sizes = of_region(crowds.groupBy("region").agg(F.count("*").alias("m")), "near-sizes")
     score = crowds.join(sizes, "region").groupBy("node").agg(F.sum("m").alias("score"))
     scored = cut(crowds.join(score, "node"), "near-scored")
-    own = scored.groupBy("region").agg(F.max(F.struct("score", "node")).alias("best"))
+    own = of_region(scored.groupBy("region").agg(F.max(F.struct("score", "node")).alias("best")), "near-own")
     # The best hub that a class meets; then the one that most members of a region agree upon.
     meets = scored.join(own, "region").groupBy("node").agg(F.max("best").alias("best"))
     votes = scored.select("region", "node").join(meets, "node").groupBy("region", "best").agg(F.count("*").alias("n"))
     hubs = votes.groupBy("region").agg(F.max(F.struct("n", "best")).alias("x")).select("region", F.col("x.best.node").alias("a"))
-    return scored.join(hubs, "region").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    return scored.join(of_region(hubs, "near-region-hubs"), "region").select("a", F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def parted(stars_: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -352,13 +376,11 @@ def label(docs: DataFrame, size: int) -> DataFrame:
     linkable = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = linkable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x"))
     classes = cut(classes.select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.signature"), "near-classes")
-    places = classes.mapInArrow(plant, "region long, deep long, deeper long, node long")
-    places = places.repartition("region").sortWithinPartitions("region", "deep", "deeper", "node")
-    forest = cut(places.mapInArrow(neighbours, "region long, a long, b long"), "near-forest")
+    grown = forest(classes)
 
-    pairs = forest.where("region IS NULL").select("a", "b").distinct()
+    pairs = grown.where("region IS NULL").select("a", "b").distinct()
     likely = cut(with_signatures(pairs, classes).mapInArrow(similar, "a long, b long, share double"), "near-likely")
-    hubs = cut(families(forest.where("region IS NOT NULL").select("region", F.col("a").alias("node"))), "near-hubs")
+    hubs = cut(families(grown.where("region IS NOT NULL").select("region", F.col("a").alias("node"))), "near-hubs")
     sets = sets_of(docs, classes, likely.unionByName(hubs, True).select(F.explode(F.array("a", "b")).alias("node")), size)
     ends = likely.select("a", "b", "share", F.explode(F.array("a", "b")).alias("end"))
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("share"), "a", "b"))
@@ -378,7 +400,7 @@ def label(docs: DataFrame, size: int) -> DataFrame:
     more = cut(true_links(rest, sets), "near-more")
     if more.limit(1).count():
         found = cut(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-found")
-    discard(forest, likely, hubs, sets, first, rest, more)
+    discard(grown, likely, hubs, sets, first, rest, more)
 
     named = classes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = found.join(named, "root").select("node", "component_id")

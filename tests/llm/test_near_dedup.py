@@ -106,6 +106,14 @@ def test_a_large_family_loses_no_link(spark, tables, monkeypatch, size):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, _, k in want if k)
 
 
+def test_large_regions_in_parts(spark, tables, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 40)
+    folder = tables(family(300, 30))
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()]
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sorted((tuple(r) for r in near_dedup.label(frame, 2).collect()), key=repr) == plain(docs, 2)
+
+
 def places(rng, n, values):
     rows = np.array([[rng.randrange(3) + 1 for _ in range(n)], *([sum(rng.randrange(values) << 16 * k for k in range(4)) for _ in range(n)] for _ in range(2)), range(n)])
     return rows[:, np.lexsort(rows[::-1])]
@@ -118,12 +126,13 @@ def test_regions_adapt(monkeypatch, held):
     rng = random.Random(held)
     rows = places(rng, 300, 3)
     rows = np.concatenate([rows, [[9, 10, 10, 10, 11], [0, 0, 1, 1, 0], [5, 5, 5, 6, 5], [900, 901, 902, 903, 904]]], axis=1)
-    names = ["region", "deep", "deeper", "node"]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, at : at + 23]], names=names) for at in range(0, rows.shape[1], 23)]
+    names = ["part", "deep", "deeper", "node", "of", "dealt"]
+    whole = np.concatenate([rows, rows[:1], rows[:1] == 11])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in whole[:, at : at + 23]], names=names) for at in range(0, rows.shape[1], 23)]
     got = [r for batch in near_dedup.neighbours(iter(batches)) for r in batch.to_pylist()]
     pairs = {(r["a"], r["b"]) for r in got if r["region"] is None}
     members = sorted((r["region"], r["a"]) for r in got if r["region"] is not None)
-    assert members == sorted((int(r), int(n)) for r, n in zip(rows[0], rows[3], strict=True) if r < 9)
+    assert members == sorted((int(r), int(n)) for r, n in zip(rows[0], rows[3], strict=True) if r < 9 or r == 11)  # 11 is told to be dealt
     slots = {int(n): (int(r), *[int(x) >> 48 - 16 * k & 0xFFFF for x in (d, e) for k in range(4)]) for r, d, e, n in rows.T}
     want = set()
     for depth in range(1, 10):
