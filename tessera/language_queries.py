@@ -155,6 +155,28 @@ def _(t):
     return t.spark.createDataFrame([(v, i) for i, v in rows], "value string, place long")
 
 
+@register("stream_split", "SELECT n_name AS value FROM nation")
+def _(t):
+    """The parts of a split stream have each element once."""
+    parts = [p.df for p in Stream.of(t.nation, "n_name").split(4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("stream_batches", "SELECT o_orderkey AS value, (row_number() OVER (ORDER BY o_orderkey) - 1) // 7 AS batch FROM orders WHERE o_orderkey < 100")
+def _(t):
+    """The driver's iterator in batches of seven, one partition computed ahead."""
+    s = Stream.of(t.orders, "o_orderkey").filter(lambda v: v < 100).sorted().parallel_distribution().timeout(600)
+    rows = [(v, k) for k, part in enumerate(s.batches(7)) for v in part]
+    return t.spark.createDataFrame(rows, "value long, batch long").select(F.col("value").cast(t.orders.schema["o_orderkey"].dataType).alias("value"), "batch")
+
+
+@register("index_only_aggregation", f"SELECT x AS token, count(DISTINCT doc_id) AS texts, count(*) AS occurrences FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def _(t):
+    """The tokens of most texts, from the index alone: no text is read."""
+    rows = t.spark.read.parquet(_index(t))
+    return rows.groupBy("token").agg(F.count("*").alias("texts"), F.sum("n").alias("occurrences")).orderBy(F.desc("texts"), "token").limit(20)
+
+
 @register("stream_map_batches", "SELECT CAST(n_nationkey * n_nationkey AS BIGINT) AS value FROM nation")
 def _(t):
     def squares(frames):

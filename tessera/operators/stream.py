@@ -6,7 +6,10 @@ in generated code; plain Python functions over pandas batches are possible with
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ Fn = Callable[[Column], Column]
 class Stream:
     def __init__(self, df: DataFrame, ordered: tuple[Column, ...] = ()):
         self._df, self._ordered = df, ordered
+        self._parallel, self._seconds = False, None
 
     @classmethod
     def of(cls, df: DataFrame, value: str | Column | None = None) -> Stream:
@@ -141,13 +145,58 @@ class Stream:
         return self._df.agg((~F.coalesce(F.bool_or(predicate(self._value())), F.lit(False))).alias("matches"))
 
     def find_first(self):
-        row = self._df.first()
+        row = self._within(self._df.first)
         return None if row is None else row["value"]
 
     find_any = find_first
 
-    def iterator(self, prefetch: bool = False) -> Iterator:
-        return (r["value"] for r in self._df.toLocalIterator(prefetchPartitions=prefetch))
+    def iterator(self, prefetch: bool | None = None) -> Iterator:
+        """Elements on the driver, a partition at a time; with prefetch (parallel distribution) the next one is computed meanwhile."""
+        return (r["value"] for r in self._df.toLocalIterator(prefetchPartitions=self._parallel if prefetch is None else prefetch))
+
+    def batches(self, size: int) -> Iterator[list]:
+        """Elements in lists of a size, as the driver takes them."""
+        elements = self.iterator()
+        while part := list(islice(elements, size)):
+            yield part
 
     def for_each_partition(self, f) -> None:
-        self._df.foreachPartition(f)
+        self._within(lambda: self._df.foreachPartition(f))
+
+    # how it runs
+    def sequential_distribution(self) -> Stream:
+        return self._how(parallel=False)
+
+    def parallel_distribution(self) -> Stream:
+        return self._how(parallel=True)
+
+    def timeout(self, seconds: float) -> Stream:
+        """find_first and for_each_partition raise TimeoutError after so long, and their jobs are cancelled."""
+        return self._how(seconds=seconds)
+
+    def split(self, parts: int) -> list[Stream]:
+        """Streams that together have each element once, of about equal size: by a hash of the element."""
+        place = F.pmod(F.xxhash64(F.col("value")), F.lit(parts))
+        return [Stream(self._df.filter(place == k), self._ordered) for k in range(parts)]
+
+    def _how(self, parallel: bool | None = None, seconds: float | None = None) -> Stream:
+        out = Stream(self._df, self._ordered)
+        out._parallel, out._seconds = self._parallel if parallel is None else parallel, self._seconds if seconds is None else seconds
+        return out
+
+    def _within(self, action):
+        if self._seconds is None:
+            return action()
+        context, group = self._df.sparkSession.sparkContext, uuid.uuid4().hex
+        context.setJobGroup(group, "stream", interruptOnCancel=True)
+        timer = threading.Timer(self._seconds, context.cancelJobGroup, (group,))
+        timer.start()
+        try:
+            return action()
+        except Exception as e:
+            if not timer.is_alive():
+                raise TimeoutError(f"the stream took more than {self._seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)

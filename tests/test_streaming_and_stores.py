@@ -93,3 +93,19 @@ def test_jdbc_tables_and_queries(spark, tmp_path):
     catalog.register("entries", back.toDF("id", "name", "amount"), key="id")
     assert [r[0] for r in query(catalog, "select id from entries where amount > 1 order by id desc").df().collect()] == [4, 3, 1]
     assert stores.custom_schema({"a": "int4", "b": "blob", "c": "odd"}) == "a int, b binary, c odd"
+
+
+def test_streams_time_out(spark):
+    from tessera.operators.stream import Stream
+
+    def slow(frames):
+        import time
+
+        for f in frames:
+            time.sleep(60)
+            yield f
+
+    numbers = Stream.of(spark.range(4), "id")
+    assert numbers.timeout(60).find_first() == 0 and [len(b) for b in numbers.batches(3)] == [3, 1]
+    with pytest.raises(TimeoutError):
+        numbers.map_batches(slow, "value long").timeout(2).for_each_partition(lambda rows: None)
