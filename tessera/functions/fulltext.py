@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The English stop words of the stemmer and ngram analyzers.
@@ -172,8 +173,15 @@ def analyze_words(text: str, analyzer: str) -> list[str]:
     return [w for w in words if w not in STOP_WORDS] if analyzer in ("stemmer", "ngram") else words
 
 
+@lru_cache(maxsize=10_000)
+def stem_of(word: str) -> str:
+    """The stem of a query's word, by the same expression over a local row, which the optimizer evaluates without a job."""
+    row = SparkSession.active().sql("SELECT col1 AS w FROM VALUES (:w)", args={"w": word})
+    return row.select(stem(F.col("w")).alias("stem")).first()["stem"]
+
+
 def query_token(word: str, analyzer: str) -> Column:
-    return stem(F.lit(word)) if analyzer == "stemmer" else F.lit(word)
+    return F.lit(stem_of(word) if analyzer == "stemmer" else word)
 
 
 def wildcard(pattern: str) -> str:

@@ -75,9 +75,22 @@ def _(t):
     return query(t.catalog, "select user_id from users where 'click' member of kinds").df()
 
 
-asked("repeated_sort_keys", "select c_custkey from customer order by c_acctbal, c_custkey, c_acctbal desc", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10", limit=10)
-asked("row_property", "select o_orderstatus, max(o_totalprice) as top from orders group by o_orderstatus having max(o_totalprice) > 1000 and count(*) > 2", "SELECT o_orderstatus, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING max(o_totalprice) > 1000 AND count(*) > 2")
-asked("filter_and_convert", "select c_name, c_nationkey from customer where not (c_acctbal >= 0) and c_mktsegment in ('BUILDING', 'MACHINERY')", "SELECT c_name, c_nationkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+asked(
+    "repeated_sort_keys",
+    "select c_custkey from customer order by c_acctbal, c_custkey, c_acctbal desc",
+    "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10",
+    limit=10,
+)
+asked(
+    "row_property",
+    "select o_orderstatus, max(o_totalprice) as top from orders group by o_orderstatus having max(o_totalprice) > 1000 and count(*) > 2",
+    "SELECT o_orderstatus, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING max(o_totalprice) > 1000 AND count(*) > 2",
+)
+asked(
+    "filter_and_convert",
+    "select c_name, c_nationkey from customer where not (c_acctbal >= 0) and c_mktsegment in ('BUILDING', 'MACHINERY')",
+    "SELECT c_name, c_nationkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')",
+)
 
 
 @register("page_of_default", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -87,7 +100,11 @@ def _(t):
     return t.spark.createDataFrame(result.rows, "o_orderkey long").select(F.col("o_orderkey").cast(t.orders.schema["o_orderkey"].dataType).alias("o_orderkey"))
 
 
-@register("query_statistics", "SELECT 'select n_name from nation where n_regionkey = 1' AS query, CAST(2 AS BIGINT) AS count, CAST(2 * (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS BIGINT) AS rows UNION ALL SELECT 'select r_name from region', 1, (SELECT count(*) FROM region)")
+@register(
+    "query_statistics",
+    "SELECT 'select n_name from nation where n_regionkey = 1' AS query, CAST(2 AS BIGINT) AS count, CAST(2 * (SELECT count(*) FROM nation WHERE "
+    "n_regionkey = 1) AS BIGINT) AS rows UNION ALL SELECT 'select r_name from region', 1, (SELECT count(*) FROM region)",
+)
 def _(t):
     for text in ("select n_name from nation where n_regionkey = 1", "select r_name from region", "select n_name from nation where n_regionkey = 1"):
         t.ask(text).execute()
@@ -118,7 +135,11 @@ _flat("stream_flat_map_int", "int", "INT")
 _flat("stream_flat_map_long", "long", "BIGINT")
 
 
-@register("stream_conversions", "SELECT CAST(n_regionkey AS DOUBLE) AS a, CAST(n_regionkey AS BIGINT) * 2 AS b, 'k' || n_regionkey AS c FROM (SELECT DISTINCT n_regionkey FROM nation)")
+@register(
+    "stream_conversions",
+    "SELECT CAST(n_regionkey AS DOUBLE) AS a, CAST(n_regionkey AS BIGINT) * 2 AS b, 'k' || n_regionkey AS c FROM (SELECT DISTINCT n_regionkey "
+    "FROM nation)",
+)
 def _(t):
     """AsDouble, AsLong, MapToLong, MapToDouble and MapToObj of one stream of ints."""
     ints = Stream.of(t.nation, "n_regionkey").map_to_int(lambda v: v).distinct()
@@ -129,7 +150,11 @@ def _(t):
     return both.select("a", "b", "c")
 
 
-@register("stream_terminals", "SELECT count(*) AS n, CAST(sum(n_regionkey) AS BIGINT) AS sum, min(n_regionkey) AS min, max(n_regionkey) AS max, bool_and(n_regionkey < 5) AS all_, NOT bool_or(n_regionkey > 9) AS none_ FROM nation")
+@register(
+    "stream_terminals",
+    "SELECT count(*) AS n, CAST(sum(n_regionkey) AS BIGINT) AS sum, min(n_regionkey) AS min, max(n_regionkey) AS max, bool_and(n_regionkey < 5) "
+    "AS all_, NOT bool_or(n_regionkey > 9) AS none_ FROM nation",
+)
 def _(t):
     s = Stream.of(t.nation, "n_regionkey").unordered()
     out = s.count().join(s.sum(), F.lit(True)).join(s.min(), F.lit(True)).join(s.max(), F.lit(True))  # one row each
@@ -170,7 +195,11 @@ def _(t):
     return t.spark.createDataFrame(rows, "value long, batch long").select(F.col("value").cast(t.orders.schema["o_orderkey"].dataType).alias("value"), "batch")
 
 
-@register("index_only_aggregation", f"SELECT x AS token, count(DISTINCT doc_id) AS texts, count(*) AS occurrences FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+@register(
+    "index_only_aggregation",
+    f"SELECT x AS token, count(DISTINCT doc_id) AS texts, count(*) AS occurrences FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) GROUP "
+    f"BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+)
 def _(t):
     """The tokens of most texts, from the index alone: no text is read."""
     rows = t.spark.read.parquet(_index(t))
@@ -253,7 +282,10 @@ def _(t):
     return parts[0].unionByName(parts[1])
 
 
-@register("key_supplier", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@register(
+    "key_supplier",
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+)
 def _(t):
     """Keys given as a list, and as a table."""
     entries = t.customer.select("c_custkey", "c_name")
@@ -293,7 +325,10 @@ def _index(t) -> str:
     return path
 
 
-@register("index_term", f"SELECT doc_id AS key, CAST(len(list_filter({TOK}, lambda x: x = 'the')) AS INT) AS n FROM documents WHERE list_contains({TOK}, 'the')")
+@register(
+    "index_term",
+    f"SELECT doc_id AS key, CAST(len(list_filter({TOK}, lambda x: x = 'the')) AS INT) AS n FROM documents WHERE list_contains({TOK}, 'the')",
+)
 def _(t):
     return index.term(t.spark, _index(t), "the")
 
@@ -308,12 +343,19 @@ def _(t):
     return index.every(t.spark, _index(t), ["worthless", "the"])
 
 
-@register("index_prefix", f"SELECT x AS token, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) WHERE x LIKE 'wor%' GROUP BY 1")
+@register(
+    "index_prefix",
+    f"SELECT x AS token, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents) WHERE x LIKE 'wor%' GROUP BY 1",
+)
 def _(t):
     return index.prefix(t.spark, _index(t), "wor")
 
 
-@register("index_statistics", f"SELECT count(DISTINCT x) AS tokens, count(DISTINCT (doc_id, x)) AS postings, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, unnest({TOK}) AS x FROM documents)")
+@register(
+    "index_statistics",
+    f"SELECT count(DISTINCT x) AS tokens, count(DISTINCT (doc_id, x)) AS postings, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM "
+    f"(SELECT doc_id, unnest({TOK}) AS x FROM documents)",
+)
 def _(t):
     return index.statistics(t.spark, _index(t))
 
@@ -340,7 +382,11 @@ def _(t):
     return continuous.replay(feed, F.col("value") > 50, "user_id", ["value"], "event_id").select("event_id", "event")
 
 
-@register("max_idle", "SELECT event_id FROM events WHERE ts + INTERVAL 10 MINUTE > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AND ts - INTERVAL 2 HOUR + INTERVAL 3 HOUR > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@register(
+    "max_idle",
+    "SELECT event_id FROM events WHERE ts + INTERVAL 10 MINUTE > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AND ts - INTERVAL 2 HOUR + "
+    "INTERVAL 3 HOUR > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+)
 def _(t):
     both = t.events.join(t.events.agg(F.max("ts").alias("last")), F.lit(True))  # one row
     used = both.withColumn("used", F.col("ts") - F.expr("INTERVAL 2 HOURS"))

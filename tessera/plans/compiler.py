@@ -160,7 +160,9 @@ class Compiler:
         if isinstance(node, Boost):
             return self.condition(node.part)
         if isinstance(node, FullText):
-            return self.text_count(node) > 0
+            found = self.text_count(node) > 0
+            hint = self.text_hint(node)
+            return found if hint is None else hint & found
         if isinstance(node, Within):
             return self.within(node)
         if isinstance(node, Knn):
@@ -225,6 +227,35 @@ class Compiler:
         """The count of a clause. A lambda binds the tokens, so that a row's text is analyzed once, not for every use of a token."""
         return F.get(F.transform(F.array(fulltext.ANALYZERS[analyzer](value)), lambda tokens: self.clause(clause, tokens, value, analyzer)), 0)
 
+    def text_hint(self, node: FullText) -> Column | None:
+        """A cheap condition that every match meets: its words are somewhere in the text. Rows without them aren't analyzed."""
+        name = ".".join(self.full(node.path))
+        analyzer = self.entity.analyzers.get(name)
+        if analyzer not in ("standard", "simple", "whitespace"):
+            return None
+        value = F.col(name) if analyzer == "whitespace" else F.lower(F.col(name))
+
+        def needs(clause) -> Column | None:
+            if isinstance(clause, Boost) or (isinstance(clause, Occur) and clause.sign != "-"):
+                return needs(clause.part)
+            if isinstance(clause, And):
+                parts = [p for p in map(needs, clause.parts) if p is not None]
+                return reduce(and_, parts) if parts else None
+            if isinstance(clause, Or):
+                parts = [needs(p) for p in clause.parts]
+                if any(isinstance(p, Occur) for p in clause.parts) or any(p is None for p in parts):
+                    return None
+                return reduce(lambda a, b: a | b, parts)
+            word = getattr(clause, "value", None)
+            if isinstance(clause, (Not, Occur, Regexp, TextRange)) or word is None:
+                return None
+            word = self.bind(word)
+            words = fulltext.analyze_words(word, analyzer) if isinstance(word, str) else []
+            plain = bool(words) and not any(c in w for w in words for c in "*?") and (len(words) > 1 or not clause.slop)
+            return reduce(and_, [value.contains(w) for w in words]) if plain else None
+
+        return needs(node.clause)
+
     def clause(self, clause, tokens: Column, value: Column, analyzer: str) -> Column:
         if isinstance(clause, Boost):
             return self.clause(clause.part, tokens, value, analyzer)

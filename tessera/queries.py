@@ -110,7 +110,8 @@ def asked(name: str, text: str, sql: str, select: list[str] | None = None, offse
 # The query language: projections, filters, predicates
 asked(
     "flagship",
-    "select l_returnflag as flag, count(*) as n, sum(l_quantity) as qty, avg(l_discount) as disc from lineitem where l_quantity > 10 group by l_returnflag order by l_returnflag",
+    "select l_returnflag as flag, count(*) as n, sum(l_quantity) as qty, avg(l_discount) as disc from lineitem where l_quantity > 10 group "
+    "by l_returnflag order by l_returnflag",
     "SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS qty, avg(l_discount) AS disc FROM lineitem WHERE l_quantity > 10 GROUP BY 1",
 )
 asked("entity_projection", "from nation", "SELECT * FROM nation")
@@ -120,23 +121,67 @@ asked(
     "select l_orderkey, l_linenumber from lineitem where l_quantity > 10 and (l_discount <= 0.05 or l_tax > 0.04)",
     "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND (l_discount <= 0.05 OR l_tax > 0.04)",
 )
-asked("symbol_operators", "select o_orderkey from orders where !(o_orderstatus = 'F') && o_totalprice >= 1000 || o_totalprice < 500", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F') AND o_totalprice >= 1000 OR o_totalprice < 500")
-asked("not_equals", "select o_orderkey from orders where o_orderstatus <> 'F' and o_orderpriority != '1-URGENT'", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'")
-asked("in_list", "select o_orderkey, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH')", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-asked("between", "select o_orderkey from orders where o_totalprice between 1000 and 50000", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
-asked("between_timestamps", "select o_orderkey from orders where o_orderdate between '19950101000000000' and '19961231235959999'", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31 23:59:59.999'")
-asked("like_patterns", "select p_partkey, p_name from part where p_name like '%a%' and not p_type like '_R%'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND NOT p_type LIKE '_R%'")
+asked(
+    "symbol_operators",
+    "select o_orderkey from orders where !(o_orderstatus = 'F') && o_totalprice >= 1000 || o_totalprice < 500",
+    "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F') AND o_totalprice >= 1000 OR o_totalprice < 500",
+)
+asked(
+    "not_equals",
+    "select o_orderkey from orders where o_orderstatus <> 'F' and o_orderpriority != '1-URGENT'",
+    "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'",
+)
+asked(
+    "in_list",
+    "select o_orderkey, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH')",
+    "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
+)
+asked(
+    "between",
+    "select o_orderkey from orders where o_totalprice between 1000 and 50000",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000",
+)
+asked(
+    "between_timestamps",
+    "select o_orderkey from orders where o_orderdate between '19950101000000000' and '19961231235959999'",
+    "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31 23:59:59.999'",
+)
+asked(
+    "like_patterns",
+    "select p_partkey, p_name from part where p_name like '%a%' and not p_type like '_R%'",
+    "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND NOT p_type LIKE '_R%'",
+)
 asked("like_prefix", "select p_partkey from part where p_brand like 'Brand#1%'", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%'")
-asked("is_null", "select c_custkey from customer where c_mktsegment is not null and not c_name is null", "SELECT c_custkey FROM customer WHERE c_mktsegment IS NOT NULL AND c_name IS NOT NULL")
+asked(
+    "is_null",
+    "select c_custkey from customer where c_mktsegment is not null and not c_name is null",
+    "SELECT c_custkey FROM customer WHERE c_mktsegment IS NOT NULL AND c_name IS NOT NULL",
+)
 asked("constant_true", "select r_name from region where true", "SELECT r_name FROM region")
 asked("constant_false", "select r_name from region where false", "SELECT r_name FROM region WHERE false")
-asked("named_parameters", "select o_orderkey from orders where o_totalprice > :low and o_orderstatus in (:states)", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('O', 'P')", low=100000, states=["O", "P"])
+asked(
+    "named_parameters",
+    "select o_orderkey from orders where o_totalprice > :low and o_orderstatus in (:states)",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('O', 'P')",
+    low=100000,
+    states=["O", "P"],
+)
 asked("order_by_many", "select n_name, n_regionkey from nation order by n_regionkey desc, n_name asc", "SELECT n_name, n_regionkey FROM nation")
-asked("paging", "select c_custkey, c_name from customer order by c_acctbal desc, c_custkey", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20", offset=20, limit=10)
+asked(
+    "paging",
+    "select c_custkey, c_name from customer order by c_acctbal desc, c_custkey",
+    "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20",
+    offset=20,
+    limit=10,
+)
 asked("select_distinct", "select distinct c_mktsegment from customer", "SELECT DISTINCT c_mktsegment FROM customer")
 
 
-@register("not_of_null", "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders) WHERE (s = 'F') IS NOT TRUE")
+@register(
+    "not_of_null",
+    "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders) WHERE (s = 'F') IS NOT "
+    "TRUE",
+)
 def _(t):
     t.catalog.register("maybe", t.orders.select("o_orderkey", F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END").alias("s")))
     return query(t.catalog, "select o_orderkey from maybe where not s = 'F'").df()
@@ -172,7 +217,11 @@ def _(t):
     return t.ask("select o_orderkey from orders order by o_orderkey").max_results(100).df()
 
 
-@register("standing_filters", "SELECT event_id, list_filter([CASE WHEN value > 100 THEN 'high' END, CASE WHEN event_type = 'click' THEN 'click' END, CASE WHEN user_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL) AS matched FROM events")
+@register(
+    "standing_filters",
+    "SELECT event_id, list_filter([CASE WHEN value > 100 THEN 'high' END, CASE WHEN event_type = 'click' THEN 'click' END, CASE WHEN user_id % 2 "
+    "= 0 THEN 'even' END], lambda x: x IS NOT NULL) AS matched FROM events",
+)
 def _(t):
     return continuous.match_many(t.events, {"high": F.col("value") > 100, "click": F.col("event_type") == "click", "even": F.col("user_id") % 2 == 0}).select("event_id", "matched")
 
@@ -181,8 +230,10 @@ def _(t):
 asked("group_only", "select c_mktsegment from customer group by c_mktsegment", "SELECT DISTINCT c_mktsegment FROM customer")
 asked(
     "two_phase_aggregation",
-    "select l_returnflag, l_linestatus, sum(l_quantity) as qty, sum(l_extendedprice) as price, avg(l_quantity) as aq, min(l_tax) as lo, max(l_tax) as hi, count(l_partkey) as n from lineitem group by l_returnflag, l_linestatus",
-    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, sum(l_extendedprice) AS price, avg(l_quantity) AS aq, min(l_tax) AS lo, max(l_tax) AS hi, count(l_partkey) AS n FROM lineitem GROUP BY 1, 2",
+    "select l_returnflag, l_linestatus, sum(l_quantity) as qty, sum(l_extendedprice) as price, avg(l_quantity) as aq, min(l_tax) as lo, "
+    "max(l_tax) as hi, count(l_partkey) as n from lineitem group by l_returnflag, l_linestatus",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, sum(l_extendedprice) AS price, avg(l_quantity) AS aq, min(l_tax) AS lo, "
+    "max(l_tax) AS hi, count(l_partkey) AS n FROM lineitem GROUP BY 1, 2",
 )
 asked(
     "having_order_page",
@@ -190,28 +241,66 @@ asked(
     "SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1 HAVING count(*) > 5 ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5",
     offset=5, limit=10,
 )
-asked("global_on_empty", "select count(*) as n, sum(l_quantity) as s, avg(l_tax) as a, max(l_tax) as m from lineitem where false", "SELECT count(*) AS n, sum(l_quantity) AS s, avg(l_tax) AS a, max(l_tax) AS m FROM lineitem WHERE false")
-asked("count_entity", "select count(o) as n, max(o.o_orderdate) as last from orders o where o.o_orderstatus = 'O'", "SELECT count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'O'")
-asked("count_distinct_extension", "select o_orderstatus, count(distinct o_custkey) as n from orders group by o_orderstatus", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
-asked("sum_of_integers", "select p_brand, sum(p_size) as s, avg(p_size) as a from part group by p_brand", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS s, avg(p_size) AS a FROM part GROUP BY 1")
+asked(
+    "global_on_empty",
+    "select count(*) as n, sum(l_quantity) as s, avg(l_tax) as a, max(l_tax) as m from lineitem where false",
+    "SELECT count(*) AS n, sum(l_quantity) AS s, avg(l_tax) AS a, max(l_tax) AS m FROM lineitem WHERE false",
+)
+asked(
+    "count_entity",
+    "select count(o) as n, max(o.o_orderdate) as last from orders o where o.o_orderstatus = 'O'",
+    "SELECT count(*) AS n, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'O'",
+)
+asked(
+    "count_distinct_extension",
+    "select o_orderstatus, count(distinct o_custkey) as n from orders group by o_orderstatus",
+    "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1",
+)
+asked(
+    "sum_of_integers",
+    "select p_brand, sum(p_size) as s, avg(p_size) as a from part group by p_brand",
+    "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS s, avg(p_size) AS a FROM part GROUP BY 1",
+)
 
 # Collections in entities
 EXISTS = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {})"
 WITH_LINES = "o_orderkey IN (SELECT l_orderkey FROM lineitem) AND "
-asked("nested_join", "select b.o_orderkey from baskets b join b.lines p where p.l_quantity > 40 and p.l_discount > 0.05", "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40 AND l_discount > 0.05"))
-asked("flattened_join", "select b.o_orderkey from flat b join b.lines p where p.l_quantity > 40 and p.l_discount > 0.05", "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40") + " AND " + EXISTS.format("l_discount > 0.05"))
-asked("path_without_join", "select b.o_orderkey from baskets b where b.lines.l_quantity > 40 and b.lines.l_discount > 0.05", "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40") + " AND " + EXISTS.format("l_discount > 0.05"))
+asked(
+    "nested_join",
+    "select b.o_orderkey from baskets b join b.lines p where p.l_quantity > 40 and p.l_discount > 0.05",
+    "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40 AND l_discount > 0.05"),
+)
+asked(
+    "flattened_join",
+    "select b.o_orderkey from flat b join b.lines p where p.l_quantity > 40 and p.l_discount > 0.05",
+    "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40") + " AND " + EXISTS.format("l_discount > 0.05"),
+)
+asked(
+    "path_without_join",
+    "select b.o_orderkey from baskets b where b.lines.l_quantity > 40 and b.lines.l_discount > 0.05",
+    "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity > 40") + " AND " + EXISTS.format("l_discount > 0.05"),
+)
 asked(
     "two_aliases",
-    "select b.o_orderkey from baskets b join b.lines p join b.lines q where p.l_quantity = 50 and p.l_returnflag = 'R' and q.l_quantity = 1 and q.l_returnflag = 'N'",
+    "select b.o_orderkey from baskets b join b.lines p join b.lines q where p.l_quantity = 50 and p.l_returnflag = 'R' and q.l_quantity = 1 "
+    "and q.l_returnflag = 'N'",
     "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_quantity = 50 AND l_returnflag = 'R'") + " AND " + EXISTS.format("l_quantity = 1 AND l_returnflag = 'N'"),
 )
-asked("nested_negation", "select b.o_orderkey from baskets b join b.lines p where p.l_returnflag != 'R'", "SELECT o_orderkey FROM orders WHERE " + WITH_LINES + "NOT " + EXISTS.format("l_returnflag = 'R'"))
-asked("nested_in", "select b.o_orderkey from baskets b join b.lines p where p.l_linenumber in (1, 2) and p.l_quantity between 10 and 12", "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_linenumber IN (1, 2) AND l_quantity BETWEEN 10 AND 12"))
+asked(
+    "nested_negation",
+    "select b.o_orderkey from baskets b join b.lines p where p.l_returnflag != 'R'",
+    "SELECT o_orderkey FROM orders WHERE " + WITH_LINES + "NOT " + EXISTS.format("l_returnflag = 'R'"),
+)
+asked(
+    "nested_in",
+    "select b.o_orderkey from baskets b join b.lines p where p.l_linenumber in (1, 2) and p.l_quantity between 10 and 12",
+    "SELECT o_orderkey FROM orders WHERE " + EXISTS.format("l_linenumber IN (1, 2) AND l_quantity BETWEEN 10 AND 12"),
+)
 asked(
     "first_of_repeated",
     "select o_orderkey, lines.l_partkey as first_part from baskets",
-    "SELECT l_orderkey AS o_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_quantity, l_discount, l_returnflag)) AS first_part FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1",
+    "SELECT l_orderkey AS o_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_quantity, l_discount, l_returnflag)) AS first_part "
+    "FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1",
 )
 
 # Vectors
@@ -242,9 +331,21 @@ register("knn_score", f"SELECT vec_id, round(1 / (1 + pow(list_distance(embeddin
 
 # Space
 HAV = "2 * 6371008.7714 * asin(least(1.0, sqrt(pow(sin(radians({lat} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({lat})) * pow(sin(radians({lon} - lon) / 2), 2))))"
-asked("within_circle", "select c_custkey from places where home within circle(40.5, 10.25, 2500, km)", f"SELECT c_custkey FROM {PLACES} WHERE {HAV.format(lat=40.5, lon=10.25)} <= 2500000")
-asked("within_box", "select c_custkey from places where home within box(45.5, -20.5, -10.5, 60.5)", f"SELECT c_custkey FROM {PLACES} WHERE lat BETWEEN -10.5 AND 45.5 AND lon BETWEEN -20.5 AND 60.5")
-asked("within_polygon", "select c_custkey from places where home within polygon((0.05, 0.05), (0.05, 40.05), (40.05, 0.05))", f"SELECT c_custkey FROM {PLACES} WHERE lat > 0.05 AND lon > 0.05 AND lon < 40.05 - (lat - 0.05)")
+asked(
+    "within_circle",
+    "select c_custkey from places where home within circle(40.5, 10.25, 2500, km)",
+    f"SELECT c_custkey FROM {PLACES} WHERE {HAV.format(lat=40.5, lon=10.25)} <= 2500000",
+)
+asked(
+    "within_box",
+    "select c_custkey from places where home within box(45.5, -20.5, -10.5, 60.5)",
+    f"SELECT c_custkey FROM {PLACES} WHERE lat BETWEEN -10.5 AND 45.5 AND lon BETWEEN -20.5 AND 60.5",
+)
+asked(
+    "within_polygon",
+    "select c_custkey from places where home within polygon((0.05, 0.05), (0.05, 40.05), (40.05, 0.05))",
+    f"SELECT c_custkey FROM {PLACES} WHERE lat > 0.05 AND lon > 0.05 AND lon < 40.05 - (lat - 0.05)",
+)
 asked(
     "distance_projection",
     "select c_custkey, distance(home, 40.5, 10.25, km) as km from places where home within circle(40.5, 10.25, 1000000) order by distance(home, 40.5, 10.25)",
@@ -254,24 +355,66 @@ asked(
 # Full text
 TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 asked("text_term", "select doc_id from documents where text : 'worthless'", f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'worthless')")
-asked("text_boolean", "select doc_id from documents where text : ('thand' and not 'worthless') or text : 'queque'", f"SELECT doc_id FROM documents WHERE (list_contains({TOK}, 'thand') AND NOT list_contains({TOK}, 'worthless')) OR list_contains({TOK}, 'queque')")
-asked("text_phrase", "select doc_id from documents where text : 'of the and'", rf"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the and ')")
-asked("text_proximity", "select doc_id from documents where text : 'worthless of'~2", rf"SELECT doc_id FROM documents WHERE regexp_matches(' ' || array_to_string({TOK}, ' ') || ' ', ' worthless ([^ ]+ ){{0,2}}of ')")
-asked("text_fuzzy", "select doc_id from documents where text : 'worthles'~1", f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: levenshtein(x, 'worthles') <= 1)) > 0")
-asked("text_wildcard", "select doc_id from documents where text : 'wor?hl*'", f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: regexp_full_match(x, 'wor.hl.*'))) > 0")
-asked("text_regexp", "select doc_id from documents where text : /[wz]orth.*s/", f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: regexp_full_match(x, '[wz]orth.*s'))) > 0")
-asked("text_range", "select doc_id from documents where text : ['wor' to 'worz'}", f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: x >= 'wor' AND x < 'worz')) > 0")
-asked("text_occurs", "select doc_id from documents where text : (+'the' -'worthless' #'of')", f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'the') AND list_contains({TOK}, 'of') AND NOT list_contains({TOK}, 'worthless')")
+asked(
+    "text_boolean",
+    "select doc_id from documents where text : ('thand' and not 'worthless') or text : 'queque'",
+    f"SELECT doc_id FROM documents WHERE (list_contains({TOK}, 'thand') AND NOT list_contains({TOK}, 'worthless')) OR list_contains({TOK}, "
+    f"'queque')",
+)
+asked(
+    "text_phrase",
+    "select doc_id from documents where text : 'of the and'",
+    rf"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the and ')",
+)
+asked(
+    "text_proximity",
+    "select doc_id from documents where text : 'worthless of'~2",
+    rf"SELECT doc_id FROM documents WHERE regexp_matches(' ' || array_to_string({TOK}, ' ') || ' ', ' worthless ([^ ]+ ){{0,2}}of ')",
+)
+asked(
+    "text_fuzzy",
+    "select doc_id from documents where text : 'worthles'~1",
+    f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: levenshtein(x, 'worthles') <= 1)) > 0",
+)
+asked(
+    "text_wildcard",
+    "select doc_id from documents where text : 'wor?hl*'",
+    f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: regexp_full_match(x, 'wor.hl.*'))) > 0",
+)
+asked(
+    "text_regexp",
+    "select doc_id from documents where text : /[wz]orth.*s/",
+    f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: regexp_full_match(x, '[wz]orth.*s'))) > 0",
+)
+asked(
+    "text_range",
+    "select doc_id from documents where text : ['wor' to 'worz'}",
+    f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda x: x >= 'wor' AND x < 'worz')) > 0",
+)
+asked(
+    "text_occurs",
+    "select doc_id from documents where text : (+'the' -'worthless' #'of')",
+    f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'the') AND list_contains({TOK}, 'of') AND NOT list_contains({TOK}, 'worthless')",
+)
 asked(
     "text_score",
     "select doc_id, score(d) as s from documents d where text : 'worthless'^3",
-    f"SELECT doc_id, CAST(3 * n * 2.2 / (n + 1.2) AS FLOAT) AS s FROM (SELECT doc_id, len(list_filter({TOK}, lambda x: x = 'worthless'))::DOUBLE AS n FROM documents) WHERE n > 0",
+    f"SELECT doc_id, CAST(3 * n * 2.2 / (n + 1.2) AS FLOAT) AS s FROM (SELECT doc_id, len(list_filter({TOK}, lambda x: x = "
+    f"'worthless'))::DOUBLE AS n FROM documents) WHERE n > 0",
 )
 asked("text_normalizer", "select doc_id from sources where source = 'SRC1'", "SELECT doc_id FROM documents WHERE lower(source) = 'src1'")
-asked("text_whitespace_analyzer", "select doc_id from sources where text : 'The'", r"SELECT doc_id FROM documents WHERE list_contains(string_split_regex(text, '\s+'), 'The')")
+asked(
+    "text_whitespace_analyzer",
+    "select doc_id from sources where text : 'The'",
+    r"SELECT doc_id FROM documents WHERE list_contains(string_split_regex(text, '\s+'), 'The')",
+)
 asked("text_ngram_analyzer", "select p_partkey from stems where p_type : 'eel'", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'eel')")
 asked("text_filename_analyzer", "select p_partkey from stems where p_brand : 'brand#12'", "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#12'")
-asked("numeric_range", "select l_orderkey, l_linenumber from lineitem where l_quantity >= 20 and l_quantity < 50", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 20 AND l_quantity < 50")
+asked(
+    "numeric_range",
+    "select l_orderkey, l_linenumber from lineitem where l_quantity >= 20 and l_quantity < 50",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 20 AND l_quantity < 50",
+)
 
 
 # The functional stream
@@ -313,7 +456,9 @@ def _(t):
 # Strings and keys
 @register(
     "string_commands",
-    "SELECT c_custkey, c_name || '!' AS appended, c_nationkey + 5 AS incr, c_nationkey - 3 AS decr, c_acctbal + 0.5 AS incr_float, substr(c_name, 2, 3) AS ranged, substr(c_name, -3) AS tail, substr(c_name, 1, 2) || 'XY' || substr(c_name, 5) AS patched, strlen(c_name) AS n FROM customer",
+    "SELECT c_custkey, c_name || '!' AS appended, c_nationkey + 5 AS incr, c_nationkey - 3 AS decr, c_acctbal + 0.5 AS incr_float, "
+    "substr(c_name, 2, 3) AS ranged, substr(c_name, -3) AS tail, substr(c_name, 1, 2) || 'XY' || substr(c_name, 5) AS patched, "
+    "strlen(c_name) AS n FROM customer",
 )
 def _(t):
     name = F.col("c_name")
@@ -353,7 +498,11 @@ def _(t):
     return _space(t).mget(["Customer#000000001", "Customer#1", "nobody"])
 
 
-@register("key_set", "SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'new' ELSE 'old' END AS value FROM nation UNION ALL SELECT r_name || '*', 'new' FROM region")
+@register(
+    "key_set",
+    "SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'new' ELSE 'old' END AS value FROM nation UNION ALL SELECT r_name || '*', 'new' FROM "
+    "region",
+)
 def _(t):
     old = Keyspace(t.nation.select(F.col("n_name").alias("key"), F.lit("old").alias("value")))
     new = t.nation.filter("n_regionkey = 1").select(F.col("n_name").alias("key"), F.lit("new").alias("value")).unionByName(t.region.select(F.concat("r_name", F.lit("*")).alias("key"), F.lit("new").alias("value")))
@@ -391,7 +540,11 @@ def _(t):
 NOW = "TIMESTAMP '1996-06-01 00:00:00'"
 
 
-@register("key_ttl", f"SELECT o_orderkey AS key, CAST(epoch(o_orderdate + INTERVAL 30 DAY) - epoch({NOW}) AS BIGINT) AS ttl FROM orders WHERE o_orderdate + INTERVAL 30 DAY > {NOW}")
+@register(
+    "key_ttl",
+    f"SELECT o_orderkey AS key, CAST(epoch(o_orderdate + INTERVAL 30 DAY) - epoch({NOW}) AS BIGINT) AS ttl FROM orders WHERE o_orderdate + "
+    f"INTERVAL 30 DAY > {NOW}",
+)
 def _(t):
     space = Keyspace(t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("expires_at")))
     now = F.expr(NOW)
@@ -408,7 +561,8 @@ def _(t):
 # Hashes, lists, sets
 @register(
     "hash_commands",
-    "SELECT n_nationkey, n_name AS name, n_name IS NOT NULL AS has, 3 AS len, strlen(n_name) AS namelen, CAST(n_regionkey + 10 AS VARCHAR) AS region, 'v' AS extra, ['k', 'name', 'region'] AS keys, ['name'] AS scanned FROM nation",
+    "SELECT n_nationkey, n_name AS name, n_name IS NOT NULL AS has, 3 AS len, strlen(n_name) AS namelen, CAST(n_regionkey + 10 AS VARCHAR) "
+    "AS region, 'v' AS extra, ['k', 'name', 'region'] AS keys, ['name'] AS scanned FROM nation",
 )
 def _(t):
     m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("old"), F.lit("x"))
@@ -429,7 +583,9 @@ LISTS = "(SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM order
 
 @register(
     "list_commands",
-    f"SELECT o_custkey, len(l) AS n, l[1] AS head, l[-1] AS tail, l[2:3] AS ranged, [0] || l AS pushed, l || [0] AS appended, l[2:] AS popped, [l[1], -1] || l[2:] AS inserted, list_filter(l, lambda x: x <> l[1]) AS removed, l[1:2] AS trimmed, CASE WHEN len(l) > 1 THEN [l[-1]] || l[1:-2] ELSE l END AS rotated, CAST(0 AS BIGINT) AS pos FROM {LISTS}",
+    f"SELECT o_custkey, len(l) AS n, l[1] AS head, l[-1] AS tail, l[2:3] AS ranged, [0] || l AS pushed, l || [0] AS appended, l[2:] AS "
+    f"popped, [l[1], -1] || l[2:] AS inserted, list_filter(l, lambda x: x <> l[1]) AS removed, l[1:2] AS trimmed, CASE WHEN len(l) > 1 THEN "
+    f"[l[-1]] || l[1:-2] ELSE l END AS rotated, CAST(0 AS BIGINT) AS pos FROM {LISTS}",
 )
 def _(t):
     a = F.col("l")
@@ -467,7 +623,9 @@ def _(t):
 
 @register(
     "set_commands",
-    "SELECT user_id, list_sort(list(DISTINCT event_type)) AS members, count(DISTINCT event_type) AS card, bool_or(event_type = 'click') AS has, list_sort(list_filter(list(DISTINCT event_type), lambda x: x <> 'click')) AS less, list_sort(list_distinct(list(DISTINCT event_type) || ['zzz'])) AS more FROM events GROUP BY 1",
+    "SELECT user_id, list_sort(list(DISTINCT event_type)) AS members, count(DISTINCT event_type) AS card, bool_or(event_type = 'click') AS "
+    "has, list_sort(list_filter(list(DISTINCT event_type), lambda x: x <> 'click')) AS less, list_sort(list_distinct(list(DISTINCT "
+    "event_type) || ['zzz'])) AS more FROM events GROUP BY 1",
 )
 def _(t):
     s = F.col("event_type")
@@ -490,7 +648,11 @@ def _(t):
     return _spend(t).ranked()
 
 
-@register("zset_rank_of_one", f"SELECT count(*) AS rank FROM {SPEND.format('')} WHERE (score, member) < (SELECT (score, member) FROM {SPEND.format('')} WHERE member = (SELECT min(o_custkey) FROM orders))")
+@register(
+    "zset_rank_of_one",
+    f"SELECT count(*) AS rank FROM {SPEND.format('')} WHERE (score, member) < (SELECT (score, member) FROM {SPEND.format('')} WHERE member = "
+    f"(SELECT min(o_custkey) FROM orders))",
+)
 def _(t):
     return _spend(t).rank(t.orders.agg(F.min("o_custkey")).first()[0])
 
@@ -505,7 +667,11 @@ def _(t):
     return _spend(t).range_by_score(100000, 900000, 3, 20)
 
 
-@register("zset_union", f"SELECT member, sum(score) AS score FROM (SELECT member, score * 2 AS score FROM {SPEND_O} UNION ALL SELECT member, score * 3 FROM {SPEND_F}) GROUP BY 1")
+@register(
+    "zset_union",
+    f"SELECT member, sum(score) AS score FROM (SELECT member, score * 2 AS score FROM {SPEND_O} UNION ALL SELECT member, score * 3 FROM "
+    f"{SPEND_F}) GROUP BY 1",
+)
 def _(t):
     return _spend(t, "o_orderstatus = 'O'").union(_spend(t, "o_orderstatus = 'F'"), weights=[2, 3]).df
 
@@ -526,7 +692,11 @@ def _(t):
     return SortedSet(rows("o_orderstatus = 'O'")).add(rows("o_orderstatus <> 'O'"), "gt").df
 
 
-@register("zset_pop_by_key", "SELECT c_nationkey, c_custkey AS member, c_acctbal AS score FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) <= 2")
+@register(
+    "zset_pop_by_key",
+    "SELECT c_nationkey, c_custkey AS member, c_acctbal AS score FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY "
+    "c_acctbal, c_custkey) <= 2",
+)
 def _(t):
     return SortedSet(t.customer.select("c_nationkey", F.col("c_custkey").alias("member"), F.col("c_acctbal").alias("score")), key=["c_nationkey"]).pop(2)[0].select("c_nationkey", "member", "score")
 
@@ -542,7 +712,11 @@ def _(t):
 
 
 # Bitmaps
-@register("bitmap_commands", "SELECT n_nationkey, length(replace(to_binary(n_name), '0', '')) AS ones, CAST(substr(to_binary(n_name), 4, 1) AS INT) AS bit, CAST(instr(to_binary(n_name), '1') - 1 AS BIGINT) AS pos, ord(n_name) AS u8 FROM nation")
+@register(
+    "bitmap_commands",
+    "SELECT n_nationkey, length(replace(to_binary(n_name), '0', '')) AS ones, CAST(substr(to_binary(n_name), 4, 1) AS INT) AS bit, "
+    "CAST(instr(to_binary(n_name), '1') - 1 AS BIGINT) AS pos, ord(n_name) AS u8 FROM nation",
+)
 def _(t):
     v = F.col("n_name").cast("binary")
     return t.nation.select("n_nationkey", bitmaps.bit_count(v).cast("long").alias("ones"), bitmaps.get_bit(v, 3).alias("bit"), bitmaps.bit_pos(v, 1).alias("pos"), bitmaps.bitfield_get(v, "u8", 0).cast("int").alias("u8"))
@@ -560,7 +734,11 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.sum(json_docs.typed(F.col("props"), "$.k", "long")).cast("decimal(38,0)").alias("total"), F.count("*").alias("n")).withColumn("total", F.col("total").cast("long"))
 
 
-@register("json_edits", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 5 AS k, 'x' AS s, 'integer' AS kind, ['k'] AS keys, CAST(1 AS INT) AS len FROM events")
+@register(
+    "json_edits",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 5 AS k, 'x' AS s, 'integer' AS kind, ['k'] AS keys, CAST(1 AS INT) AS "
+    "len FROM events",
+)
 def _(t):
     p = F.col("props")
     edited = json_docs.json_set(json_docs.num_incr_by(p, "$.k", 5), "$.s", "x")
@@ -612,7 +790,11 @@ def _(t):
 HAVC = HAV.replace("6371008.7714", "6372797.560856")
 
 
-@register("geo_search", f"SELECT c_custkey, {HAVC.format(lat=10.5, lon=20.5)} / 1000 AS distance FROM {PLACES} WHERE {HAVC.format(lat=10.5, lon=20.5)} <= 3000000 ORDER BY 2, 1 LIMIT 15")
+@register(
+    "geo_search",
+    f"SELECT c_custkey, {HAVC.format(lat=10.5, lon=20.5)} / 1000 AS distance FROM {PLACES} WHERE {HAVC.format(lat=10.5, lon=20.5)} <= 3000000 "
+    f"ORDER BY 2, 1 LIMIT 15",
+)
 def _(t):
     return geo.search(places(t.customer), 20.5, 10.5, radius=3000, in_unit="km", count=15, x="lon", y="lat").select("c_custkey", "distance")
 
@@ -620,7 +802,8 @@ def _(t):
 SCORE_SQL = (
     "(SELECT c_custkey, list_sum(list_transform(range(26), lambda k: (((x >> k) & 1) << (2 * k + 1)) + (((y >> k) & 1) << (2 * k))))::BIGINT AS score FROM ("
     "SELECT c_custkey, least(floor((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 67108864.0::DOUBLE), 67108863)::BIGINT AS x, "
-    "least(floor((greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE) + 85.05112878::DOUBLE) / 170.10225756::DOUBLE * 67108864.0::DOUBLE), 67108863)::BIGINT AS y "
+    "least(floor((greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE) + 85.05112878::DOUBLE) / 170.10225756::DOUBLE * "
+    "67108864.0::DOUBLE), 67108863)::BIGINT AS y "
     f"FROM {PLACES}))"
 )
 
@@ -650,7 +833,8 @@ def _(t):
 
 @register(
     "counter_bounded",
-    "SELECT user_id, list_reduce([CAST(3 AS BIGINT)] || list(CAST(event_id % 41 - 20 AS BIGINT) ORDER BY event_id), lambda v, d: least(greatest(v + d, 0), 50)) AS value FROM events GROUP BY 1",
+    "SELECT user_id, list_reduce([CAST(3 AS BIGINT)] || list(CAST(event_id % 41 - 20 AS BIGINT) ORDER BY event_id), lambda v, d: "
+    "least(greatest(v + d, 0), 50)) AS value FROM events GROUP BY 1",
 )
 def _(t):
     """Held within its bounds after every delta, not once at the end."""
@@ -718,7 +902,11 @@ def _with_events(t) -> Catalog:
     return t.catalog
 
 
-@register("table_changes", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'created' WHEN n_nationkey >= 20 THEN 'removed' ELSE 'modified' END AS op FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20 OR n_regionkey = 1")
+@register(
+    "table_changes",
+    "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'created' WHEN n_nationkey >= 20 THEN 'removed' ELSE 'modified' END AS op FROM nation "
+    "WHERE n_nationkey < 5 OR n_nationkey >= 20 OR n_regionkey = 1",
+)
 def _(t):
     before = t.nation.filter("n_nationkey >= 5")
     after = t.nation.filter("n_nationkey < 20").withColumn("n_name", F.when(F.col("n_regionkey") == 1, "changed").otherwise(F.col("n_name")))

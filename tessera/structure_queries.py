@@ -18,7 +18,11 @@ def _nations(t) -> Keyspace:
 
 
 # Strings and keys
-@register("string_counters", "SELECT c_custkey, c_nationkey + 1 AS incr, c_nationkey - 1 AS decr, 7 AS fresh, c_name || chr(0) || chr(0) || 'x' AS grown, upper(c_name) AS same FROM customer")
+@register(
+    "string_counters",
+    "SELECT c_custkey, c_nationkey + 1 AS incr, c_nationkey - 1 AS decr, 7 AS fresh, c_name || chr(0) || chr(0) || 'x' AS grown, upper(c_name) "
+    "AS same FROM customer",
+)
 def _(t):
     n, name = F.col("c_nationkey").cast("string"), F.col("c_name")
     grown = strings.set_range(name, 20, "x")
@@ -33,13 +37,21 @@ def _(t):
     return _nations(t).delete_if("NATION_6", 1).delete_if("NATION_7", -1).df
 
 
-@register("key_getdel", f"SELECT 'taken' AS what, key, value FROM {NATIONS} WHERE key = 'NATION_2' UNION ALL SELECT 'left', key, value FROM {NATIONS} WHERE key <> 'NATION_2'")
+@register(
+    "key_getdel",
+    f"SELECT 'taken' AS what, key, value FROM {NATIONS} WHERE key = 'NATION_2' UNION ALL SELECT 'left', key, value FROM {NATIONS} WHERE key <> "
+    f"'NATION_2'",
+)
 def _(t):
     taken, left = _nations(t).getdel("NATION_2")
     return taken.select(F.lit("taken").alias("what"), F.lit("NATION_2").alias("key"), "value").unionByName(left.df.withColumn("what", F.lit("left")))
 
 
-@register("key_getset", f"SELECT key, CASE WHEN key = 'NATION_18' THEN 99 ELSE value END AS value, (SELECT value FROM {NATIONS} WHERE key = 'NATION_18') AS old FROM {NATIONS}")
+@register(
+    "key_getset",
+    f"SELECT key, CASE WHEN key = 'NATION_18' THEN 99 ELSE value END AS value, (SELECT value FROM {NATIONS} WHERE key = 'NATION_18') AS old FROM "
+    f"{NATIONS}",
+)
 def _(t):
     old, space = _nations(t).getset("NATION_18", 99)
     return space.df.join(F.broadcast(old.select(F.col("value").alias("old"))), F.lit(True))  # one row
@@ -61,7 +73,11 @@ def _(t):
     return space.scan("NATION_2*").unionByName(space.scan("*_?")).distinct()
 
 
-@register("key_expiry", f"SELECT key, CASE WHEN key = 'NATION_17' THEN 90 WHEN key = 'NATION_18' THEN 3600 ELSE -1 END AS ttl, CASE WHEN key = 'NATION_17' THEN epoch({NOW})::BIGINT + 90 WHEN key = 'NATION_18' THEN epoch({NOW})::BIGINT + 3600 ELSE -1 END AS at FROM {NATIONS}")
+@register(
+    "key_expiry",
+    f"SELECT key, CASE WHEN key = 'NATION_17' THEN 90 WHEN key = 'NATION_18' THEN 3600 ELSE -1 END AS ttl, CASE WHEN key = 'NATION_17' THEN "
+    f"epoch({NOW})::BIGINT + 90 WHEN key = 'NATION_18' THEN epoch({NOW})::BIGINT + 3600 ELSE -1 END AS at FROM {NATIONS}",
+)
 def _(t):
     """EXPIRE, PEXPIREAT, EXPIRETIME, TTL and PERSIST: NATION_8 gets an expiry and loses it."""
     now = F.expr(NOW)
@@ -69,7 +85,11 @@ def _(t):
     return space.ttl(now).join(space.expire_time(), "key")
 
 
-@register("key_pttl", f"SELECT key, CAST(CASE WHEN key = 'NATION_17' THEN 90500 ELSE -1 END AS BIGINT) AS ttl, CAST(CASE WHEN key = 'NATION_17' THEN epoch({NOW})::BIGINT * 1000 + 90500 ELSE -1 END AS BIGINT) AS at FROM {NATIONS}")
+@register(
+    "key_pttl",
+    f"SELECT key, CAST(CASE WHEN key = 'NATION_17' THEN 90500 ELSE -1 END AS BIGINT) AS ttl, CAST(CASE WHEN key = 'NATION_17' THEN "
+    f"epoch({NOW})::BIGINT * 1000 + 90500 ELSE -1 END AS BIGINT) AS at FROM {NATIONS}",
+)
 def _(t):
     """PSETEX and PEXPIRE, PTTL, PEXPIRETIME."""
     now = F.expr(NOW)
@@ -107,7 +127,11 @@ def _(t):
 
 
 # Hashes
-@register("hash_fields", "SELECT n_nationkey, ['new', 'b', n_name] AS vals, [n_name, NULL, 'b'] AS many, CAST(n_regionkey + 0.5 AS DOUBLE) AS added, 3 AS entries, true AS known FROM nation")
+@register(
+    "hash_fields",
+    "SELECT n_nationkey, ['new', 'b', n_name] AS vals, [n_name, NULL, 'b'] AS many, CAST(n_regionkey + 0.5 AS DOUBLE) AS added, 3 AS entries, "
+    "true AS known FROM nation",
+)
 def _(t):
     m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("b"), F.lit("b"))
     grown = hashes.hset(m, {"a": "new"})
@@ -162,7 +186,13 @@ def _(t):
     )
 
 
-@register("set_store", "SELECT 'inter' AS what, user_id FROM (SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click') UNION ALL SELECT 'union', user_id FROM (SELECT user_id FROM events WHERE event_type IN ('view', 'click') GROUP BY 1) UNION ALL SELECT 'diff', user_id FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'click')")
+@register(
+    "set_store",
+    "SELECT 'inter' AS what, user_id FROM (SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE "
+    "event_type = 'click') UNION ALL SELECT 'union', user_id FROM (SELECT user_id FROM events WHERE event_type IN ('view', 'click') GROUP BY 1) "
+    "UNION ALL SELECT 'diff', user_id FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE "
+    "event_type = 'click')",
+)
 def _(t):
     """SINTERSTORE, SUNIONSTORE and SDIFFSTORE under their target keys."""
     a, b = _users(t, "view"), _users(t, "click")
@@ -187,7 +217,10 @@ def _(t):
     return z.incr_by(more.withColumn("member", F.col("member").cast(z.df.schema["member"].dataType))).df
 
 
-@register("zset_scores", f"SELECT w.member, s.score FROM (SELECT min(o_custkey) AS member FROM orders UNION ALL SELECT -5) w LEFT JOIN {ALL} s ON s.member = w.member")
+@register(
+    "zset_scores",
+    f"SELECT w.member, s.score FROM (SELECT min(o_custkey) AS member FROM orders UNION ALL SELECT -5) w LEFT JOIN {ALL} s ON s.member = w.member",
+)
 def _(t):
     """ZSCORE and ZMSCORE; null for members that aren't there."""
     return _spend(t).scores([t.orders.agg(F.min("o_custkey")).first()[0], -5])
@@ -205,7 +238,11 @@ def _named(t) -> SortedSet:
     return SortedSet(t.nation.select(F.col("n_name").alias("member"), F.col("n_nationkey").alias("score")))
 
 
-@register("zset_lex_edits", f"SELECT member, score, (SELECT count(*) FROM {NAMED} WHERE member >= 'NATION_1' AND member < 'NATION_3') AS inside FROM {NAMED} WHERE NOT (member >= 'NATION_1' AND member < 'NATION_3')")
+@register(
+    "zset_lex_edits",
+    f"SELECT member, score, (SELECT count(*) FROM {NAMED} WHERE member >= 'NATION_1' AND member < 'NATION_3') AS inside FROM {NAMED} WHERE NOT "
+    f"(member >= 'NATION_1' AND member < 'NATION_3')",
+)
 def _(t):
     z = _named(t)
     return z.rem_range_by_lex("[NATION_1", "(NATION_3").df.join(z.lex_count("[NATION_1", "(NATION_3").withColumnRenamed("n", "inside"), F.lit(True))  # one row
@@ -226,7 +263,11 @@ def _(t):
     return _spend(t).ranked(reverse=True)
 
 
-@register("zset_pop_max", f"SELECT member, score, true AS taken FROM (SELECT * FROM {ALL} ORDER BY score DESC, member DESC LIMIT 3) UNION ALL SELECT member, score, false FROM (SELECT * FROM {ALL} ORDER BY score DESC, member DESC OFFSET 3)")
+@register(
+    "zset_pop_max",
+    f"SELECT member, score, true AS taken FROM (SELECT * FROM {ALL} ORDER BY score DESC, member DESC LIMIT 3) UNION ALL SELECT member, score, "
+    f"false FROM (SELECT * FROM {ALL} ORDER BY score DESC, member DESC OFFSET 3)",
+)
 def _(t):
     taken, left = _spend(t).pop(3, largest=True)
     return taken.withColumn("taken", F.lit(True)).unionByName(left.df.withColumn("taken", F.lit(False)))
@@ -249,7 +290,11 @@ def _(t):
     return _spend(t, "o_orderstatus = 'O'").inter_card(_spend(t, "o_orderstatus = 'F'"))
 
 
-@register("zset_store", f"SELECT 'range' AS key, member, score FROM (SELECT * FROM {SPEND_O} ORDER BY score, member LIMIT 5) UNION ALL SELECT 'least', a.member, least(a.score, b.score) FROM {SPEND_O} a JOIN {SPEND_F} b ON a.member = b.member")
+@register(
+    "zset_store",
+    f"SELECT 'range' AS key, member, score FROM (SELECT * FROM {SPEND_O} ORDER BY score, member LIMIT 5) UNION ALL SELECT 'least', a.member, "
+    f"least(a.score, b.score) FROM {SPEND_O} a JOIN {SPEND_F} b ON a.member = b.member",
+)
 def _(t):
     """ZRANGESTORE and ZINTERSTORE under their target keys."""
     a, b = _spend(t, "o_orderstatus = 'O'"), _spend(t, "o_orderstatus = 'F'")
@@ -261,7 +306,11 @@ def _(t):
     return _spend(t).range(-6, -2)
 
 
-@register("zset_ranks_by_key", "SELECT c_nationkey, c_custkey AS member, c_acctbal AS score, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) - 1 AS rank FROM customer")
+@register(
+    "zset_ranks_by_key",
+    "SELECT c_nationkey, c_custkey AS member, c_acctbal AS score, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey "
+    "DESC) - 1 AS rank FROM customer",
+)
 def _(t):
     z = SortedSet(t.customer.select("c_nationkey", F.col("c_custkey").alias("member"), F.col("c_acctbal").alias("score")), key=["c_nationkey"])
     return z.ranked(reverse=True)
@@ -356,22 +405,38 @@ def _(t):
     return cms.info(cms.build(t.events.withColumn("by", F.col("event_id") % 3), "user_id", "by"))
 
 
-@register("top_k_query", "SELECT w.item, c.n IS NOT NULL AS listed, coalesce(c.n, 0) AS count FROM (VALUES ('click'), ('nothing')) w(item) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) c ON c.event_type = w.item")
+@register(
+    "top_k_query",
+    "SELECT w.item, c.n IS NOT NULL AS listed, coalesce(c.n, 0) AS count FROM (VALUES ('click'), ('nothing')) w(item) LEFT JOIN (SELECT "
+    "event_type, count(*) AS n FROM events GROUP BY 1) c ON c.event_type = w.item",
+)
 def _(t):
     return sketches.topk_query(sketches.topk_reserve(t.events, "event_type"), 100, ["click", "nothing"])
 
 
-@register("top_k_info", "SELECT 2 AS k, 2 AS items, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM events GROUP BY event_type ORDER BY 1 DESC LIMIT 2)")
+@register(
+    "top_k_info",
+    "SELECT 2 AS k, 2 AS items, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM events GROUP BY event_type ORDER BY 1 DESC LIMIT "
+    "2)",
+)
 def _(t):
     return sketches.topk_info(sketches.topk_reserve(t.events, "event_type"), 2)
 
 
-@register("top_k_incr_by", "SELECT event_type, user_id AS item, CAST(sum(event_id % 10) AS BIGINT) AS count FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count DESC, user_id) <= 5")
+@register(
+    "top_k_incr_by",
+    "SELECT event_type, user_id AS item, CAST(sum(event_id % 10) AS BIGINT) AS count FROM events GROUP BY 1, 2 QUALIFY row_number() OVER "
+    "(PARTITION BY event_type ORDER BY count DESC, user_id) <= 5",
+)
 def _(t):
     return sketches.topk_incr_by(t.events.withColumn("by", F.col("event_id") % 10), "user_id", "by", "event_type", tracked=5)
 
 
-@register("bloom_info", "SELECT CAST(ceil(-1000 * ln(0.01) / pow(ln(2), 2) / 64) * 8 AS BIGINT) AS size, 1000 AS capacity, 7 AS probes, true AS near FROM (SELECT count(DISTINCT n_name) AS n FROM nation)")
+@register(
+    "bloom_info",
+    "SELECT CAST(ceil(-1000 * ln(0.01) / pow(ln(2), 2) / 64) * 8 AS BIGINT) AS size, 1000 AS capacity, 7 AS probes, true AS near FROM (SELECT "
+    "count(DISTINCT n_name) AS n FROM nation)",
+)
 def _(t):
     """BF.RESERVE, INFO and CARD; the number of items follows from the set bits."""
     bloom = sketches.Bloom(1000, 0.01)
@@ -387,7 +452,11 @@ def _(t):
     return bloom.contains(bloom.merge(both[0].unionByName(both[1])), t.nation, "n_name")
 
 
-@register("cuckoo_edits", "SELECT event_type, user_id, CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 3 = 1 THEN 2 ELSE 1 END AS count FROM (SELECT DISTINCT event_type, user_id FROM events)")
+@register(
+    "cuckoo_edits",
+    "SELECT event_type, user_id, CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 3 = 1 THEN 2 ELSE 1 END AS count FROM (SELECT DISTINCT "
+    "event_type, user_id FROM events)",
+)
 def _(t):
     """CF.ADDNX, INSERT, DEL and COUNT: a third of the items goes, a third is added twice."""
     cuckoo = sketches.Cuckoo(200_000)
@@ -399,7 +468,11 @@ def _(t):
     return cuckoo.contains(filters, pairs, "user_id", "event_type")
 
 
-@register("cuckoo_info", "SELECT event_type, CAST(8192 AS BIGINT) AS buckets, CAST(1 AS BIGINT) AS tables, count(DISTINCT user_id) AS items, 4 AS bucket_size FROM events GROUP BY 1")
+@register(
+    "cuckoo_info",
+    "SELECT event_type, CAST(8192 AS BIGINT) AS buckets, CAST(1 AS BIGINT) AS tables, count(DISTINCT user_id) AS items, 4 AS bucket_size FROM "
+    "events GROUP BY 1",
+)
 def _(t):
     cuckoo = sketches.Cuckoo(20_000)
     return cuckoo.info(cuckoo.build(t.events, "user_id", "event_type"), "event_type")
@@ -420,7 +493,11 @@ def _(t):
     return m.put(new.withColumn("key", F.col("key").cast(m.df.schema["key"].dataType))).remove(3, "BUILDING").remove(4).df
 
 
-@register("multimap_tests", f"SELECT count(*) AS n, bool_or(key = 3) AS has_key, bool_or(value = 'BUILDING') AS has_value, bool_or(key = 3 AND value = 'nothing') AS has_entry FROM {SEGMENTS}")
+@register(
+    "multimap_tests",
+    f"SELECT count(*) AS n, bool_or(key = 3) AS has_key, bool_or(value = 'BUILDING') AS has_value, bool_or(key = 3 AND value = 'nothing') AS "
+    f"has_entry FROM {SEGMENTS}",
+)
 def _(t):
     m = _segments(t)
     parts = [m.size(), *[m.contains(**x).withColumnRenamed("found", n) for n, x in (("has_key", {"key": 3}), ("has_value", {"value": "BUILDING"}), ("has_entry", {"key": 3, "value": "nothing"}))]]
@@ -462,7 +539,10 @@ def _(t):
     return one.unionByName(m.eval_all(lambda df: df.agg(F.concat(F.lit("n"), F.count("*").cast("string")).alias("x"))))
 
 
-@register("functional_write", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name FROM nation UNION ALL SELECT 99, 'new'")
+@register(
+    "functional_write",
+    "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name FROM nation UNION ALL SELECT 99, 'new'",
+)
 def _(t):
     entries = t.nation.select("n_nationkey", "n_name")
     changed = t.nation.where("n_regionkey = 1").select("n_nationkey", F.lower("n_name").alias("n_name"))
