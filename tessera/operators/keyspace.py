@@ -65,6 +65,12 @@ class Keyspace:
 
     scan = keys
 
+    def scan_page(self, after=None, count: int = 10, pattern: str = "*") -> DataFrame:
+        """SCAN with a cursor: the next keys in order after the last one seen (None at the start); fewer than count end the scan."""
+        found = self.keys(pattern)
+        found = found if after is None else found.filter(F.col(self.key) > after)
+        return found.orderBy(self.key).limit(count)
+
     def random_key(self) -> DataFrame:
         return self.df.select(self.key).orderBy(F.rand()).limit(1)
 
@@ -138,6 +144,15 @@ class Keyspace:
     def persist(self, keys: list) -> Keyspace:
         return self.expire(keys, F.lit(None).cast("timestamp"))
 
+    def setex(self, entries, at: Column) -> Keyspace:
+        """SETEX and PSETEX: set entries that expire at a timestamp."""
+        new = self._rows(entries).withColumn("expires_at", at.cast("timestamp"))
+        return self._like(self._expiring()).set(new)
+
+    def getex(self, key, at: Column | None = None, persist: bool = False) -> tuple[DataFrame, Keyspace]:
+        """GETEX: the value, and the keyspace in which the key expires at a timestamp, or never with persist."""
+        return self.get(key), self.persist([key]) if persist else self if at is None else self.expire([key], at)
+
     def alive(self, now: Column) -> Keyspace:
         df = self._expiring()
         return self._like(df.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now)))

@@ -105,6 +105,29 @@ def _(t):
     return space.alive(now).df.select("key", "value")
 
 
+@register(
+    "key_psetex",
+    f"SELECT key, CASE WHEN key = 'NATION_3' THEN 77 WHEN key = 'once' THEN 5 ELSE value END AS value, CAST(CASE WHEN key IN ('NATION_3', 'once') THEN 1500 "
+    f"WHEN key = 'NATION_4' THEN 9000 ELSE -1 END AS BIGINT) AS ttl FROM (SELECT * FROM {NATIONS} UNION ALL SELECT 'once', 5)",
+)
+def _(t):
+    """PSETEX of a known and a new key, GETEX of one that then expires and of one that then doesn't."""
+    now = F.expr(NOW)
+    space = _nations(t).setex({"NATION_3": 77, "once": 5, "NATION_5": 0}, now + F.expr("INTERVAL 1500 MILLISECONDS"))
+    _, space = space.getex("NATION_4", now + F.expr("INTERVAL 9 SECONDS"))
+    _, space = space.getex("NATION_5", persist=True)
+    values = space.df.select("key", "value").join(space.ttl(now, "ms"), "key")
+    return values
+
+
+@register("key_scan_pages", f"SELECT key, (row_number() OVER (ORDER BY key) - 1) // 6 AS page FROM {NATIONS} WHERE key LIKE 'NATION_1%'")
+def _(t):
+    space, found = _nations(t), []
+    while rows := space.scan_page(found[-1] if found else None, 6, "NATION_1*").collect():
+        found += [r["key"] for r in rows]
+    return t.spark.createDataFrame([(k, i // 6) for i, k in enumerate(found)], "key string, page long")
+
+
 @register("key_renamenx", f"SELECT CASE WHEN key = 'NATION_17' THEN 'free' ELSE key END AS key, value FROM {NATIONS}")
 def _(t):
     return _nations(t).rename("NATION_17", "NATION_18", only_free=True).rename("NATION_17", "free", only_free=True).df
