@@ -344,7 +344,8 @@ def families(crowds: DataFrame) -> DataFrame:
 def parted(stars_: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate pairs of members of one hub, one of them outside the hub's component, by their differences from the hub."""
     root = found.select("node", "root")
-    placed = stars_.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    hubs = stars_.select("a").distinct().join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    placed = stars_.join(small(cut(hubs, "near-hub-roots"), 1_000_000), "a")  # members needn't meet by hub
     placed = placed.join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     placed = placed.select("a", "b", (F.coalesce("ra", "a") != F.coalesce("rb", "b")).alias("free"))
     open_ = placed.where("free").select("a").distinct()
@@ -374,8 +375,8 @@ def label(docs: DataFrame, size: int) -> DataFrame:
     signed = docs.select("doc_id", "text").mapInArrow(sign(size), "doc_id long, n_shingles long, node long, signature binary")
     signed = cut(signed, "near-signed")
     linkable = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x"))
-    classes = cut(classes.select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.signature"), "near-classes")
+    classes = linkable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x"), F.count("*").alias("copies"))
+    classes = cut(classes.select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.signature", "copies"), "near-classes")
     grown = forest(classes)
 
     pairs = grown.where("region IS NULL").select("a", "b").distinct()
@@ -404,8 +405,10 @@ def label(docs: DataFrame, size: int) -> DataFrame:
 
     named = classes.select("node", "doc_id").join(found, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = found.join(named, "root").select("node", "component_id")
-    names = classes.select("node", "doc_id").join(joined, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = signed.drop("signature").join(names, "node", "left")
+    names = classes.select("node", "doc_id", "copies").join(joined, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # A document alone in its class and its component has its own name; the others' names are few enough to go to the documents, mostly.
+    names = cut(names.where("copies > 1 OR component_id <> doc_id").select("node", "component_id"), "near-names")
+    out = signed.drop("signature").join(small(names, 1_000_000), "node", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
