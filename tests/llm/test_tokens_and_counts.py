@@ -180,6 +180,24 @@ def test_written_shards(spark, tmp_path):
     assert len(sizes) == 5 and all(n == 600 and last == 599 for n, last in sizes.values())
 
 
+def test_sharding_moves_whole_documents(spark, folder, monkeypatch, tmp_path):
+    """The query's places are those of files that hold the texts; equal rows and rows that differ in a null's column are told apart."""
+    from tessera.llm import sharding
+
+    monkeypatch.setattr(sharding, "new_path", lambda _, name: str(tmp_path / name))
+    got = queries.op7_sharding(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    back = spark.read.schema(docs.withColumns({"slot": sharding.F.lit(1).cast("long"), "shard": sharding.F.lit(1)}).schema).parquet(str(tmp_path / "shards"))
+    assert sorted(map(repr, rows(back.select(*docs.columns)))) == sorted(map(repr, rows(docs)))
+    assert sorted(map(repr, rows(back.select("doc_id", "shard", "slot")))) == sorted(map(repr, rows(got.select("doc_id", "shard", "slot"))))
+    odd = spark.createDataFrame([(1, None, "a"), (1, "a", None)] * 30, "doc_id long, text string, lang string")
+    assert sharding.scatter(odd, 16, 11).groupBy("row").count().count() == 2
+    for most in (0, 100):  # few hashes occur twice, or more than may be broadcast
+        monkeypatch.setattr(sharding, "REPEATS", most)
+        spread = sharding.scatter(crowded(spark, 4), 16, 11)
+        assert spread.count() == 3000 and max(r["count"] for r in spread.groupBy("bucket").count().collect()) < 300
+
+
 def test_mixing_takes_rows_of_one_id_together(spark):
     from tessera.llm import mixing
 
