@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -347,6 +348,31 @@ class Cuckoo:
 
         return both.mapInArrow(probe, f"{key} {items.schema[key].dataType.simpleString()}, {item} {kind}, count int")
 
+    def twins(self, items: DataFrame, item: str, key: str) -> DataFrame:
+        """Of distinct items those that others of their key can't be told from: of one mark and one pair of buckets in the first
+        table. Larger tables tell apart what the first does, and pairs of one mark are equal or disjoint, so the marks that match
+        any other item are its own."""
+        rows = items.select("*", *hash_pair(F.col(item)))
+        low = F.col("_h2").bitwiseAND(F.lit(0xFFFF))
+        rows = rows.withColumn("_mark", F.when(low == 0, 1).otherwise(low)).withColumn("_first", F.col("_h1").bitwiseAND(F.lit(self.buckets - 1)))
+        second = F.col("_first").bitwiseXOR((F.col("_mark") * F.lit(0x5BD1E995)).bitwiseAND(F.lit(self.buckets - 1)))
+        alike = Window.partitionBy(key, "_mark", F.least("_first", second))
+        return rows.withColumn("_alike", F.count("*").over(alike)).where("_alike > 1").select(*items.columns)
+
+    def settle(self, counts: DataFrame, asked: DataFrame, edits: list[tuple[str, DataFrame]], item: str, key: str) -> DataFrame:
+        """counts (key, item, count) of the asked items made exact, for filters that the edits made (a build, then as in change):
+        twins are counted by what the edits did to them, all others keep the filter's count."""
+        times, n = [], F.lit(0)
+        for i, (op, items) in enumerate([("ask", asked), *edits]):
+            times.append(items.select(key, item, F.lit(i).alias("_edit")))
+            k = F.col(f"_k{i}")
+            once = F.least(k, F.lit(1))
+            n = {"ask": n, "build": once, "addnx": F.greatest(n, once), "add": n + k, "del": F.greatest(n - k, F.lit(0))}[op]
+        rows = reduce(DataFrame.union, times).where(F.col(item).isNotNull()).groupBy(key, item)
+        rows = rows.agg(*[F.count_if(F.col("_edit") == i).alias(f"_k{i}") for i in range(len(times))])
+        true = self.twins(rows, item, key).select(key, item, n.cast("int").alias("_true"))
+        return counts.join(true, [key, item], "left").select(key, item, F.coalesce("_true", "count").alias("count"))
+
     def info(self, filters: DataFrame, key: str) -> DataFrame:
         """CF.INFO: of each key the buckets, the tables, the marks held and the bucket size."""
         me = self

@@ -202,3 +202,17 @@ def test_multimaps_and_tasks(spark):
         tasks.execute("twice", mm.df)
     out = collect_by(mm.df, ["key"], "total long", lambda: 0, lambda s, f: s + int(f["value"].sum()), lambda a, b: a + b, lambda s: {"total": s})
     assert {r["key"]: r["total"] for r in out.collect()} == {"a": 3, "b": 3}
+
+
+def test_cuckoo_twins_settled(spark):
+    """Items of one mark and pair of buckets are counted by the edits, also some that were never added."""
+    df, cuckoo = spark.range(3000).selectExpr("'a' AS k", "id AS x"), sketches.Cuckoo(8)
+    asked = df.union(spark.range(10_000, 12_000).selectExpr("'a' AS k", "id AS x"))
+    edits = [("addnx", df), ("del", df.where("x % 3 = 0")), ("add", df.where("x % 3 = 1"))]
+    filters = cuckoo.build(df, "x", "k")
+    for op, items in edits:
+        filters = cuckoo.change(filters, items, "x", "k", op)
+    raw = cuckoo.contains(filters, asked, "x", "k").localCheckpoint()
+    want = {x: [0, 2, 1][x % 3] if x < 3000 else 0 for x in [*range(3000), *range(10_000, 12_000)]}
+    assert {r["x"]: r["count"] for r in raw.collect()} != want
+    assert {r["x"]: r["count"] for r in cuckoo.settle(raw, asked, [("build", df), *edits], "x", "k").collect()} == want
