@@ -180,6 +180,11 @@ class Bloom:
 
         return items.select(item, test(*hash_pair(F.col(item))).alias("found"))
 
+    def confirm(self, found: DataFrame, item: str, members: DataFrame, member: str) -> DataFrame:
+        """found (item, found) with false positives taken back: what the filter found is looked up among the members."""
+        there = members.where(F.col(member).isNotNull()).select(F.col(member).alias("_member")).distinct()
+        return found.join(there, F.col("found") & (F.col(item) == F.col("_member")), "left").select(item, F.col("_member").isNotNull().alias("found"))
+
     def card(self, bloom: DataFrame) -> DataFrame:
         """The number of items by the share of set bits."""
         ones = F.aggregate("filter", F.lit(0), lambda n, word: n + F.bit_count(word))

@@ -216,3 +216,11 @@ def test_cuckoo_twins_settled(spark):
     want = {x: [0, 2, 1][x % 3] if x < 3000 else 0 for x in [*range(3000), *range(10_000, 12_000)]}
     assert {r["x"]: r["count"] for r in raw.collect()} != want
     assert {r["x"]: r["count"] for r in cuckoo.settle(raw, asked, [("build", df), *edits], "x", "k").collect()} == want
+
+
+def test_bloom_confirmed(spark):
+    """A filter holding ten times its capacity finds what was never added, until that is looked up."""
+    df, bloom = spark.range(1000).toDF("x"), sketches.Bloom(100, 0.01)
+    raw = bloom.contains(bloom.build(df, "x"), spark.range(2000).toDF("x"), "x")
+    assert raw.where("found").count() > 1100
+    assert {r["x"] for r in bloom.confirm(raw, "x", df, "x").where("found").collect()} == set(range(1000))
