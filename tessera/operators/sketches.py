@@ -129,6 +129,16 @@ class CountMin:
 
         return items.select(item, least(*hash_pair(F.col(item))).alias("estimate"))
 
+    def settle(self, estimates: DataFrame, df: DataFrame, item: str, by: str | None = None) -> DataFrame:
+        """estimates (item, estimate) of a sketch of df made exact. An item alone in one of its cells has its true count there, so
+        in the least; a sketch in which every item counts once shows which are. Only items that are alone nowhere are counted."""
+        once = self.build(df.select(item).union(estimates.select(item)).distinct(), item)
+        doubted = self.query(once, estimates.select(item).distinct(), item).where("estimate > 1").select(F.col(item).alias("_item"))
+        same = F.col(item).eqNullSafe(F.col("_item"))
+        true = doubted.join(df.select(item, (F.col(by) if by else F.lit(1)).cast("long").alias("_n")), same, "left").groupBy("_item")
+        true = true.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_true"))
+        return estimates.join(true, same, "left").select(item, F.coalesce("_true", "estimate").alias("estimate"))
+
     def info(self, sketch: DataFrame) -> DataFrame:
         """CMS.INFO: width, depth and the sum of all increments."""
         return sketch.select(F.lit(self.width).alias("width"), F.lit(self.depth).alias("depth"), F.col("total").alias("count"))
