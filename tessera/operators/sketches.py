@@ -2,6 +2,9 @@
 
 A partial sketch is made in each input partition and the partials are merged by key, so a build moves one sketch per
 partition, never the items. Sketch sizes are fixed by their parameters.
+
+Estimates are what the sketches say. Where exact rows are wanted an exact check follows them: pf_settle, CountMin.settle,
+Bloom.confirm, Cuckoo.settle. All but the first count or look up only what the sketch can't answer for sure.
 """
 
 from __future__ import annotations
@@ -31,6 +34,15 @@ def pf_count(sketch: str | Column = "sketch") -> Column:
     return F.hll_sketch_estimate(sketch)
 
 
+def pf_settle(sketches: DataFrame, df: DataFrame, item: str, *keys: str, lg_k: int = 12) -> DataFrame:
+    """keys, estimate and n, the exact count of df's distinct items; an estimate beyond six standard errors of it is an error."""
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_distinct(item).alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    near = F.abs(F.col("estimate") - F.col("_n")) <= 1 + 6 * 1.04 / math.sqrt(1 << lg_k) * F.col("_n")
+    n = F.when(near, F.col("_n")).otherwise(F.raise_error(F.lit("a sketch's estimate is beyond its error")).cast("long"))
+    return sketches.select(*keys, pf_count().alias("estimate")).join(counts, same).select(*keys, "estimate", n.alias("n"))
+
+
 # Top-k
 def topk_reserve(df: DataFrame, item: str, *keys: str, tracked: int = 10_000) -> DataFrame:
     """TOPK.RESERVE, ADD and INCRBY: an accumulated sketch."""

@@ -236,3 +236,9 @@ def test_estimates_settled(spark):
         raw = cms.query(cms.build(df, "x", by), asked, "x")
         assert any(r["estimate"] != want.get(r["x"], 0) for r in raw.collect())
         assert {r["x"]: r["estimate"] for r in cms.settle(raw, df, "x", by).collect()} == {x: want.get(x, 0) for x in [*range(1000), *range(5000, 5100)]}
+
+
+def test_hll_settled(spark):
+    df = spark.range(20_000).selectExpr("CAST(nullif(id % 3, 2) AS STRING) AS k", "id AS x")
+    got = sketches.pf_settle(sketches.pf_add(df, "x", "k", lg_k=8), df, "x", "k", lg_k=8).collect()
+    assert {r["k"]: r["n"] for r in got} == {"0": 6667, "1": 6667, None: 6666} and any(r["estimate"] != r["n"] for r in got)
