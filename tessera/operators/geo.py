@@ -34,10 +34,10 @@ def hash_of(lon: Column, lat: Column) -> Column:
     return geohash(lat, lon)
 
 
-def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, width: float | None = None, height: float | None = None, in_unit: str = "m", count: int | None = None, descending: bool | None = None, x: str = "longitude", y: str = "latitude") -> DataFrame:
+def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, width: float | None = None, height: float | None = None, in_unit: str = "m", count: int | None = None, descending: bool | None = None, x: str = "longitude", y: str = "latitude", ties: tuple[str, ...] = ()) -> DataFrame:
     """GEOSEARCH by radius, or by a box of width and height around a point; with the distance of each member.
 
-    A band of latitudes is filtered first, which file statistics can prune."""
+    A band of latitudes is filtered first, which file statistics can prune. ties are columns that order members at one distance."""
     d = distance(F.col(x), F.col(y), lon, lat, in_unit)
     reach = radius if radius is not None else height / 2
     band = degrees(reach * unit(in_unit), COMMAND_RADIUS) + 1e-9
@@ -47,5 +47,5 @@ def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, w
     else:
         out = out.filter((distance(F.col(x), F.col(y), F.col(x), F.lit(lat), in_unit) <= height / 2) & (distance(F.col(x), F.col(y), F.lit(lon), F.col(y), in_unit) <= width / 2))
     if descending is not None or count is not None:
-        out = out.orderBy(F.desc("distance") if descending else F.asc("distance"))
+        out = out.orderBy(F.desc("distance") if descending else F.asc("distance"), *ties)
     return out if count is None else out.limit(count)

@@ -242,3 +242,8 @@ def test_hll_settled(spark):
     df = spark.range(20_000).selectExpr("CAST(nullif(id % 3, 2) AS STRING) AS k", "id AS x")
     got = sketches.pf_settle(sketches.pf_add(df, "x", "k", lg_k=8), df, "x", "k", lg_k=8).collect()
     assert {r["k"]: r["n"] for r in got} == {"0": 6667, "1": 6667, None: 6666} and any(r["estimate"] != r["n"] for r in got)
+
+
+def test_geo_ties(spark):
+    df = spark.range(2000).selectExpr("1999 - id AS member", "15D AS longitude", "37D + id % 2 AS latitude").repartition(7)
+    assert [r["member"] for r in geo.search(df, 15, 37, radius=500, in_unit="km", count=5, ties=("member",)).collect()] == [1, 3, 5, 7, 9]
