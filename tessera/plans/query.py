@@ -76,8 +76,10 @@ class Query:
         self.catalog.statistics.record(self.text, len(rows), time.monotonic() - began)
         return Result(rows, count, exact)
 
-    def hit_count(self, accuracy: int = HIT_COUNT_ACCURACY) -> tuple[int, bool]:
-        """Matches, exactly up to the accuracy, else that as a lower bound."""
+    def hit_count(self, accuracy: int | None = HIT_COUNT_ACCURACY) -> tuple[int, bool]:
+        """Matches, exactly up to the accuracy, else that as a lower bound; without an accuracy all of them."""
+        if accuracy is None:
+            return self._within(self.all().count), True
         n = self._within(self.all().limit(accuracy + 1).count)
         return (n, True) if n <= accuracy else (accuracy, False)
 

@@ -143,3 +143,9 @@ def test_statistics_and_tasks(spark):
     tasks = Tasks(spark, catalog)
     tasks.register(Task("ask", lambda spark, context, least: context.query("select id from n where id > :x", x=least).df()))
     assert tasks.execute("ask", least=3).count() == 1
+
+
+def test_hit_count_of_all(spark):
+    c = Catalog()
+    c.register("Game", spark.range(10_050).withColumnRenamed("id", "n"), key="n")
+    assert query(c, "from Game").hit_count() == (10_000, False) and query(c, "from Game").hit_count(None) == (10_050, True)
